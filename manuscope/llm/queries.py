@@ -46,3 +46,40 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_duplicates import record_groups
 
     return named(record_groups(_alike(spark, sf_dir)))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .answers import broken_answers
+
+    return broken_answers(read(spark, sf_dir, "answer"))
+
+
+@query
+def p2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs and mean stated confidence (of those in range) by defect; sound pairs count as ``none``."""
+    from .answers import broken_answers
+
+    pairs = read(spark, sf_dir, "answer")
+    stated = F.when(F.col("confidence").between(0, 1), F.col("confidence"))
+    return (
+        pairs.select("answer_id", stated.alias("confidence"))
+        .join(broken_answers(pairs), "answer_id", "left")
+        .groupBy(F.coalesce("defect", F.lit("none")).alias("defect"))
+        .agg(F.count("*").alias("pairs"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+    )
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .residue import template_residue
+
+    return template_residue(read(spark, sf_dir, "documents")).select("doc_id")
+
+
+@query
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay when those with residue are left out."""
+    from .residue import without_residue
+
+    return without_residue(read(spark, sf_dir, "documents")).select("doc_id", "source", "lang")
