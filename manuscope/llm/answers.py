@@ -192,6 +192,10 @@ class Judge:
         return len(ws) >= 3 or len(lines) > 1
 
 
+def _among(values: list[str]):
+    return lambda x: x.isin(*values)
+
+
 def lexicon(pairs: DataFrame, size: int = LEXICON) -> dict[str, str]:
     """Words of the questions that belong to one language, learned from all questions.
 
@@ -200,7 +204,7 @@ def lexicon(pairs: DataFrame, size: int = LEXICON) -> dict[str, str]:
     """
     ws = F.regexp_extract_all(F.lower("question"), F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"), F.lit(0))
     df = pairs.select(ws.alias("w"))
-    hits = [F.size(F.filter("w", lambda x, ls=ls: x.isin(*ls))).alias(k) for k, ls in STOPWORDS.items()]
+    hits = [F.size(F.filter("w", _among(ls))).alias(k) for k, ls in STOPWORDS.items()]
     df = df.select("w", *hits)
     top = F.greatest(*STOPWORDS)
     ties = sum((F.col(k) == top).cast("int") for k in STOPWORDS)

@@ -83,3 +83,76 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .residue import without_residue
 
     return without_residue(read(spark, sf_dir, "documents")).select("doc_id", "source", "lang")
+
+
+def limits(spark: SparkSession, sf_dir: str) -> dict[str, tuple[int, int]]:
+    """The size limits by name: a table of three rows."""
+    return {r["limit_name"]: (r["max_tokens"], r["overlap_tokens"]) for r in read(spark, sf_dir, "size_limits").collect()}
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .splitting import split_oversized
+
+    limit, overlap = limits(spark, sf_dir)["chunk_split"]
+    return split_oversized(read(spark, sf_dir, "who_chunks_semantic"), limit, overlap)
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).where("piece_no = 0").select("id")
+
+
+SQL["p3_found"] = r"""
+SELECT DISTINCT id FROM who_chunks_semantic WHERE len(regexp_extract_all(text, '[^ \t\n\r\f]+')) > 1000"""
+
+
+@query
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir)
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..runtime import cut
+    from .sizes import sized
+
+    return cut(sized(read(spark, sf_dir, "documents")), "sized")
+
+
+@query
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    items, lim, out = _sized(spark, sf_dir), limits(spark, sf_dir), None
+    for name, segments in (("pack_small", 8), ("pack_large", 64)):
+        one = pack(items, lim[name][0], segments).select(F.lit(name).alias("limit_name"), "*")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and fill of each limit."""
+    lim = {k: v[0] for k, v in limits(spark, sf_dir).items()}
+    boxes = p8_pack(spark, sf_dir).groupBy("limit_name", "container").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    cap = F.create_map(*[F.lit(x) for kv in lim.items() for x in kv])[F.col("limit_name")]
+    return boxes.groupBy("limit_name").agg(
+        F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), F.max("n").alias("most_segments"), F.round(F.sum("t") / (F.count("*") * F.max(cap)), 4).alias("fill")
+    )
+
+
+def _mixed(spark: SparkSession, sf_dir: str):
+    from .mixing import mix
+
+    items = _sized(spark, sf_dir).withColumn("weight", 0.25 + F.col("letters") * F.least(F.lit(1.0), F.col("tokens") / 256))
+    return mix(items, read(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mixed(spark, sf_dir)[1]

@@ -123,7 +123,7 @@ class Detector:
         if fields and fields >= 0.5 * len(lines):
             return "placeholder"
         ws = _WORD.findall(text.lower())
-        if len(ws) >= 12 and max(sum(w in stop for w in ws) for stop in _STOP) < LEAST_STOPWORDS * len(ws):
+        if len(ws) >= 12 and sum(weight.values()) < self.coverage * total and max(sum(w in stop for w in ws) for stop in _STOP) < LEAST_STOPWORDS * len(ws):
             return "filler"  # words of no language
         if total == 0 and stops:
             return "filler"  # headings over dots or dashes
