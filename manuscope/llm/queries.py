@@ -177,3 +177,18 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = units.where(F.try_to_number(F.substring("id", 3, 20), F.lit("99999999999999999999")) % 20 == 0).select("id")
     stored = read(spark, sf_dir, "rel_text_text").groupBy(F.col("src_chunk_id").alias("id"), F.col("dst_chunk_id").alias("other")).agg(F.max(F.when(F.col("cosine").between(-1, 1), F.col("cosine"))).alias("stored_cosine"))
     return nearest(units, k=5, queries=asked).join(stored, ["id", "other"], "left").select("id", "other", "rank", "cosine", "stored_cosine")
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared_spans import shared_spans
+
+    return named(shared_spans(records(spark, sf_dir), 200)[0].select("rec_table", "rec_id").distinct())
+
+
+@query
+def p7_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each record's text occurs in other records of its table."""
+    from .shared_spans import shared_spans
+
+    return named(shared_spans(records(spark, sf_dir), 200)[1])
