@@ -192,3 +192,22 @@ def p7_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared_spans import shared_spans
 
     return named(shared_spans(records(spark, sf_dir), 200)[1])
+
+
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scan_noise import read_scans
+
+    chunks = read(spark, sf_dir, "who_chunks_semantic").select(F.lit(0).alias("rec_table"), F.col("id").alias("rec_id"), "manual", "text")
+    nodes = read(spark, sf_dir, "nodes_text").select(F.lit(1).alias("rec_table"), F.col("chunk_id").alias("rec_id"), "manual", "text")
+    return read_scans(chunks.union(nodes), read(spark, sf_dir, "manuals"))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return named(_read(spark, sf_dir).select("rec_table", "rec_id", F.explode("kinds").alias("noise")).distinct())
+
+
+@query
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's text as continuous paragraphs."""
+    return named(_read(spark, sf_dir).select("rec_table", "rec_id", "text").distinct())
