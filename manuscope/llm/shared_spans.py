@@ -69,33 +69,43 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def anchors(text: str, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of ``text``; a text shorter than ``length`` has none."""
-    if len(text) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = window_hashes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), GRAM)
-    low = sliding_min(h, length - GRAM + 1)
-    # a hash is an anchor if it is the least of some window around it; all its places count
-    near = np.full(len(h), np.iinfo(np.uint64).max, np.uint64)
+def anchors(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, position and hash of the anchors of ``texts``, each of ``length`` characters at least."""
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    h = window_hashes(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4"), GRAM) | np.uint64(1)
     w = length - GRAM + 1
+    low = sliding_min(h, w)
+    at = np.arange(len(low))
+    low[ends[np.searchsorted(ends, at, side="right")] - at < length] = 0  # windows that reach into the next text
+    # a hash is an anchor if it is the least of some window around it
     padded = np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)])
-    most = ~sliding_min(~padded, w)
-    near = most[: len(h)]
-    at = np.flatnonzero(h == near)
-    return at, h[at]
+    at = np.flatnonzero(h == ~sliding_min(~padded, w))
+    doc = np.searchsorted(ends, at, side="right")
+    return doc, at - (ends - sizes)[doc], h[at]
+
+
+def _steps(rows: Iterator[tuple], size: int = 300_000) -> Iterator[list[tuple]]:
+    """Rows, whose last element is a text, in lists of about ``size`` characters."""
+    out, held = [], 0
+    for r in rows:
+        out.append(r)
+        held += len(r[-1])
+        if held >= size:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
 
 
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tabs, recs, hs = [], [], []
-            for tab, rec, text in zip(b[0].to_pylist(), b[1].to_pylist(), b[2].to_pylist()):
-                if text and rec is not None and len(text) >= length:
-                    h = np.unique(anchors(text, length)[1])
-                    tabs.append(np.full(len(h), tab, np.int32)), recs.append(np.full(len(h), _number(tab, rec), np.int64)), hs.append(h)
-            if hs:
-                h = mix(np.concatenate(hs) ^ (np.concatenate(tabs).astype(np.uint64) << np.uint64(56)))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.concatenate(recs))], names=["anchor", "rec"])
+            rows = ((tab, rec, text) for tab, rec, text in zip(b[0].to_pylist(), b[1].to_pylist(), b[2].to_pylist()) if text and rec is not None and len(text) >= length)
+            for step in _steps(rows):
+                doc, _, h = anchors([x[2] for x in step], length)
+                tab, rec = np.array([x[0] for x in step], np.uint64)[doc], np.array([_number(x[0], x[1]) for x in step], np.int64)[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(mix(h ^ (tab << np.uint64(56))).view(np.int64)), pa.array(rec)], names=["anchor", "rec"])
 
     return run
 
@@ -112,14 +122,14 @@ def _surroundings(length: int):
         reach = length - GRAM
         for b in batches:
             out: list[tuple] = []
-            for tab, rec, text, wanted in zip(*(b[i].to_pylist() for i in range(4))):
-                at, h = anchors(text, length)
-                h = mix(h ^ (np.uint64(tab) << np.uint64(56))).view(np.int64)
-                keep = np.isin(h, np.array(wanted, np.int64))
-                me = _number(tab, rec)
-                for p, a in zip(at[keep].tolist(), h[keep].tolist()):
+            for step in _steps(zip(b[0].to_pylist(), b[1].to_pylist(), b[3].to_pylist(), b[2].to_pylist())):
+                doc, at, h = anchors([x[3] for x in step], length)
+                h = mix(h ^ (np.array([x[0] for x in step], np.uint64)[doc] << np.uint64(56))).view(np.int64)
+                keep = np.isin(h, np.concatenate([np.array(x[2], np.int64) for x in step]))
+                for d, p, a in zip(doc[keep].tolist(), at[keep].tolist(), h[keep].tolist()):
+                    tab, rec, _, text = step[d]
                     start = max(0, p - reach)
-                    out.append((a, text[start : p + length], me, tab, rec, start))
+                    out.append((a, text[start : p + length], _number(tab, rec), tab, rec, start))
             cols = list(zip(*out)) or [()] * 6
             types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["anchor", "body", "rec", "rec_table", "rec_id", "start"])
@@ -195,9 +205,9 @@ def shared_spans(records: DataFrame, length: int = 200) -> tuple[DataFrame, Data
     if length <= GRAM:
         raise ValueError(f"length must be above {GRAM}")
     records = records.select(F.col("rec_table").cast("int").alias("rec_table"), F.col("rec_id").cast("string").alias("rec_id"), F.col("text").cast("string").alias("text"))
-    found = records.mapInArrow(_anchor_rows(length), "anchor long, rec long").distinct()
+    found = cut(records.mapInArrow(_anchor_rows(length), "anchor long, rec long"), "found")
     per = found.groupBy("anchor").agg(F.min("rec").alias("a"), F.max("rec").alias("b")).where("a <> b").select("anchor")
-    shared = cut(found.join(per, "anchor", "left_semi"), "anchors")
+    shared = cut(found.join(per, "anchor", "left_semi").distinct(), "anchors")
     wanted = cut(shared.groupBy("rec").agg(F.collect_list("anchor").alias("wanted")), "wanted")
     return _spans(records, wanted, length)
 
