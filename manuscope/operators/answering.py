@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -100,7 +100,7 @@ _ALIGNED = {
 }
 
 
-def metrics(answers: DataFrame, sources: Column = F.lit(10)) -> DataFrame:
+def metrics(answers: DataFrame, sources: int = 10) -> DataFrame:
     """qid and the quality of an answer (qid, intent, core_concepts, answer): concepts named, alignment, citations, abstention."""
     a, low = F.col("answer"), F.lower("answer")
     named = F.size(F.filter("core_concepts", lambda c: F.contains(low, c)))
@@ -110,7 +110,7 @@ def metrics(answers: DataFrame, sources: Column = F.lit(10)) -> DataFrame:
         aligned = F.when(F.col("intent") == k, a.rlike(p)).otherwise(aligned)
     aligned = F.when(F.col("intent").isin("fact_lookup", "explanation", "yesno"), F.size(F.regexp_extract_all(a, F.lit(r"\S+"), F.lit(0))) >= 5).otherwise(aligned)
     cited = F.size(F.regexp_extract_all(a, F.lit(r"\[Source\s+\d+[^\]]*\]"), F.lit(0))).cast("long")
-    valid = F.size(F.filter(F.sequence(F.lit(1), F.lit(10)), lambda i: (i <= sources) & F.contains(a, F.concat(F.lit("[Source "), i.cast("string"))))).cast("long")
+    valid = F.size(F.filter(F.sequence(F.lit(1), F.lit(sources)), lambda i: F.contains(a, F.concat(F.lit("[Source "), i.cast("string"))))).cast("long")
     return answers.select(
         "qid", relevance.alias("concept_relevance_percent"), aligned.alias("evidence_intent_aligned"), cited.alias("citation_count"), valid.alias("valid_citations"), (cited > 0).alias("has_citations"), (low.contains("cannot answer") | low.contains("insufficient")).alias("abstained")
     )

@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 
-_BY = Window.partitionBy("qid")
-
 
 def keep_or_all(df: DataFrame, keep: Column) -> DataFrame:
     """The rows of each question that ``keep`` holds for, or all where it holds for none."""
     k = F.coalesce(keep, F.lit(False)).cast("int")
-    return df.withColumn("_keep", k).withColumn("_any", F.max("_keep").over(_BY)).where("_keep = 1 or _any = 0").drop("_keep", "_any")
+    return df.withColumn("_keep", k).withColumn("_any", F.max("_keep").over(Window.partitionBy("qid"))).where("_keep = 1 or _any = 0").drop("_keep", "_any")
 
 
 def section(q: Column) -> Column:
@@ -79,7 +77,7 @@ def semantic_filter(df: DataFrame, neighbours: DataFrame | None = None) -> DataF
     """All filters in their order.  Questions that trigger no rule keep all rows, unless all are index pages or too short."""
     triggered = T.any_of(F.lower("question"), [t for r in L.SEMANTIC_RULES.values() for t in r[0]])
     usable = ~T.looks_like_index(F.col("text")) & (F.size(F.split(F.trim("text"), r"\s+")) >= 15)
-    df = df.withColumn("_ok", F.max(usable.cast("int")).over(_BY)).where("_ok = 1").drop("_ok").withColumn("_rule", triggered)
+    df = df.withColumn("_ok", F.max(usable.cast("int")).over(Window.partitionBy("qid"))).where("_ok = 1").drop("_ok").withColumn("_rule", triggered)
     ruled = hard_concepts(concept_filter(entity_filter(section_filter(rule_filter(df.where("_rule"))), neighbours)))
     return ruled.select(*df.columns).union(df.where("not _rule")).drop("_rule")
 
