@@ -20,6 +20,8 @@ from .automata import Phrases
 
 #: Share of a document's letters that matched lines must hold.
 COVERAGE = 0.6
+#: Share of a line that its phrases must cover to make it residue; below it the line only mentions them.
+LINE_COVERAGE = 0.3
 #: Share of words that are stopwords of one language below which a text is in none.
 LEAST_STOPWORDS = 0.12
 
@@ -39,7 +41,7 @@ PHRASES = {
         "enable javascript", "enable js", "enable scripts", "enable client-side scripting", "enable active content", "turn on javascript", "turn on js", "turn on scripts", "turn on client-side", "turn on active content",
         "activate javascript", "activate js", "activate scripts", "activate client-side", "activate active content", "allow javascript", "allow js", "allow scripts", "allow client-side", "allow active content",
         "requires javascript", "requires js", "requires scripts", "requires client-side", "requires active content", "needs javascript", "needs scripts", "browser blocks", "checking your browser",
-        "noscript", "javascript is", "js switched on", "javascript switched on", "scripts switched on", "scripting switched on", "works best with", "without javascript", "ask for the paper copy", "reload the chapter", "before the viewer can start", "to read this manual",
+        "noscript", "nothing to show", "noscript mode", "to continue, activate", "for this page", "javascript is", "js switched on", "javascript switched on", "scripts switched on", "scripting switched on", "works best with", "without javascript", "ask for the paper copy", "reload the chapter", "before the viewer can start", "to read this manual",
         "activer javascript", "activer les scripts", "autoriser javascript", "autoriser les scripts", "exécution de scripts", "exécution de javascript", "recharger la page", "javascript est",
         "aktivieren sie javascript", "aktivieren sie skripte", "erlauben sie javascript", "erlauben sie skripte", "benötigt javascript", "benötigt skripte", "laden sie die seite neu", "um dieses handbuch zu lesen", "javascript ist", "braucht javascript", "braucht skripte",
         "active javascript", "active los scripts", "permitir javascript", "permitir los scripts", "requiere javascript", "requiere scripts", "recargue la página", "para leer este manual", "habilite javascript", "habilite los scripts",
@@ -82,6 +84,15 @@ _TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>", re.I)
 _HTML_NOISE = re.compile(r"</?(?:html|body|h\d|p|div|noscript|title|head|span|br|center|hr)\b[^<>]*>", re.I)
 
 
+def _union(spans: list[tuple]) -> int:
+    """Characters that spans cover together."""
+    total = end = 0
+    for a, b, _ in sorted(spans):
+        total += max(0, b - max(a, end))
+        end = max(end, b)
+    return total
+
+
 class Detector:
     def __init__(self, coverage: float = COVERAGE) -> None:
         self.coverage = coverage
@@ -99,7 +110,8 @@ class Detector:
             ws = [w.lower() for w in _WORD.findall(line)]
             n = max(1, sum(map(len, ws)))
             low = line.lower().replace("’", "'")
-            kinds = {v for _, _, v in self.phrases.spans(low)}
+            spans = self.phrases.spans(low)
+            kinds = {v for _, _, v in spans} if _union(spans) >= LINE_COVERAGE * len(line) else set()
             if BLANK_FIELD.match(line):
                 fields += 1
             if kinds:

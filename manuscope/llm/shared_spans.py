@@ -223,14 +223,14 @@ def _spans(records: DataFrame, wanted: DataFrame, length: int) -> tuple[DataFram
     texts = long.join(broadcast_if_small(wanted), "rec").select("rec_table", "rec_id", "text", "wanted")
     around = texts.mapInArrow(_surroundings(length), "anchor long, body string, rec long, rec_table int, rec_id string, start int")
     around = cut(around.withColumn("print", F.xxhash64("body")), "around")
-    bodies = around.groupBy("anchor", "print").agg(F.first("body").alias("body"), F.min("rec").alias("lo"), F.max("rec").alias("hi"))
+    bodies = around.groupBy("rec_table", "anchor", "print").agg(F.first("body").alias("body"), F.min("rec").alias("lo"), F.max("rec").alias("hi"))
     bodies = cut(bodies, "bodies")
     hot = bodies.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BODIES).select("anchor")
     hot = broadcast_if_small(cut(hot, "hot"))
     owner = F.when(F.col("lo") == F.col("hi"), F.pmod(F.col("lo"), F.lit(1 << 62))).otherwise(F.lit(-2))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(4 * partitions(spark))).cast("int")
-    sharded = bodies.join(hot, "anchor", "left_anti").select("anchor", "print", "body", owner.alias("owner"), shard.alias("shard"))
-    hits = sharded.groupBy("shard").applyInPandas(_shards(length), "anchor long, print long, lo int, hi int")
+    sharded = bodies.join(hot, "anchor", "left_anti").select("rec_table", "anchor", "print", "body", owner.alias("owner"), shard.alias("shard"))
+    hits = sharded.groupBy("rec_table", "shard").applyInPandas(_shards(length), "anchor long, print long, lo int, hi int")
     # anchors in too many different surroundings for one automaton: each window of ``length`` by its hash
     windows = bodies.join(hot, "anchor", "left_semi").where(F.length("body") >= length).withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.length("body") - length, F.lit(0)))))
     windows = windows.withColumn("window", F.xxhash64("anchor", F.substring("body", F.col("at") + 1, F.lit(length))))
