@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK = T.StructType.fromDDL("id STRING, method STRING, start_token INT, end_token INT, n_tokens INT, text STRING")
-META = T.StructType.fromDDL("row_id INT, id STRING, method STRING, start_token INT, end_token INT, n_tokens INT")
-TEXT_NODE = T.StructType.fromDDL("chunk_id STRING, page INT, tokens INT, text STRING")
-IMAGE_NODE = T.StructType.fromDDL("img_id STRING, page INT, path STRING")
-TEXT_IMAGE = T.StructType.fromDDL("chunk_id STRING, img_id STRING, score DOUBLE, method STRING")
-TEXT_TEXT = T.StructType.fromDDL("src_chunk_id STRING, dst_chunk_id STRING, cosine DOUBLE")
-MANIFEST = T.StructType.fromDDL("id STRING, page INT, xref INT, file_path STRING, width BIGINT")
-VECTORS = T.StructType.fromDDL("row_id INT, id STRING, embedding ARRAY<FLOAT>, embedder STRING")
+_TYPES = {"STRING": T.StringType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "ARRAY<FLOAT>": T.ArrayType(T.FloatType())}
+
+
+def _schema(ddl: str) -> T.StructType:
+    """A schema of simple types, without a session."""
+    return T.StructType([T.StructField(*(n, _TYPES[t])) for n, t in (x.split() for x in ddl.split(","))])
+
+
+CHUNK = _schema("id STRING, method STRING, start_token INT, end_token INT, n_tokens INT, text STRING")
+META = _schema("row_id INT, id STRING, method STRING, start_token INT, end_token INT, n_tokens INT")
+TEXT_NODE = _schema("chunk_id STRING, page INT, tokens INT, text STRING")
+IMAGE_NODE = _schema("img_id STRING, page INT, path STRING")
+TEXT_IMAGE = _schema("chunk_id STRING, img_id STRING, score DOUBLE, method STRING")
+TEXT_TEXT = _schema("src_chunk_id STRING, dst_chunk_id STRING, cosine DOUBLE")
+MANIFEST = _schema("id STRING, page INT, xref INT, file_path STRING, width BIGINT")
+VECTORS = _schema("row_id INT, id STRING, embedding ARRAY<FLOAT>, embedder STRING")
 
 #: Names under which a node file may hold its columns, in order of preference.
 NODE_ALIASES = {"text": ("text", "content", "chunk", "body"), "chunk_id": ("chunk_id", "id"), "page": ("page", "page_num", "pageid")}
