@@ -260,3 +260,28 @@ def test_rest_does_not_import_llm():
             for f in files:
                 if f.endswith(".py"):
                     assert not re.search(r"^\s*(?:from|import)\s.*\bllm\b", open(os.path.join(folder, f)).read(), re.M), f
+
+
+def test_api_and_stream(spark, tmp_path):
+    from manuscope.api import Graph, hybrid
+    from manuscope.streaming import answer_log
+
+    d = "/root/testdata/sf0.001"
+    from manuscope.plans.building import edge_table
+    from manuscope.plans.tables import nodes, questions
+
+    imgs = spark.read.parquet(f"{d}/nodes_image.parquet").where("img_id is not null").groupBy("img_id").agg(F.max("path").alias("path"), F.max("page").alias("page"))
+    g = Graph(nodes(spark, d).select("id", "page", "text"), imgs, edge_table(spark, d), spark.read.parquet(f"{d}/answer.parquet"))
+    out = g.ask(questions(spark), mode="hybrid").collect()
+    assert len(out) == questions(spark).count() and all(r.reason for r in out if r.abstained) and any(not r.abstained for r in out)
+    assert all(0 <= r.confidence <= 1 for r in out)
+    rows = hybrid(g, questions(spark).limit(3).withColumnRenamed("question", "text")).collect()
+    assert rows and max(r.place for r in rows if r.kind == "text") <= 24
+    assert g.recent_answers(3).count() == 3 and g.fetch_texts(g.texts.limit(2)).count() == 2
+    src = tmp_path / "in"
+    g.answers.repartition(3).write.parquet(str(src))
+    answer_log.store(answer_log.read_answers(spark, str(src), 1), str(tmp_path / "out")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out" / "answers")).count() == g.answers.count()
+    assert spark.read.parquet(str(tmp_path / "out" / "based_on_text")).select("answer_id", "chunk_id").distinct().count() == graph.bridges(g.answers)[0].count()
+    table = {r.start: r.answers for r in answer_log.quality(g.answers).collect()}
+    assert sum(table.values()) == g.answers.where("answered_at is not null").count()
