@@ -211,3 +211,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record's text as continuous paragraphs."""
     return named(_read(spark, sf_dir).select("rec_table", "rec_id", "text").distinct())
+
+
+_RECORDS = """r AS (SELECT 'who_chunks_semantic' AS rec_table, id AS rec_id, max(text) AS text FROM who_chunks_semantic WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id
+  UNION ALL SELECT 'nodes_text', chunk_id, max(text) FROM nodes_text WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY chunk_id)"""
+
+SQL["p1_found"] = f"""
+WITH {_RECORDS}, w AS (SELECT rec_table, rec_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM r),
+g AS (SELECT DISTINCT rec_table, rec_id, hash(w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT rec_table, rec_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+n AS (SELECT rec_table, rec_id, count(*) AS n FROM g GROUP BY ALL),
+p AS (SELECT a.rec_table, a.rec_id AS rec_a, b.rec_id AS rec_b, count(*) AS both_ FROM g a JOIN g b ON a.rec_table = b.rec_table AND a.g = b.g AND a.rec_id < b.rec_id GROUP BY ALL)
+SELECT p.rec_table, rec_a, rec_b FROM p JOIN n x ON x.rec_table = p.rec_table AND x.rec_id = rec_a JOIN n y ON y.rec_table = p.rec_table AND y.rec_id = rec_b WHERE 2 * both_ >= x.n + y.n - both_"""
+
+SQL["p7_found"] = f"""
+WITH {_RECORDS}, s AS (SELECT rec_table, rec_id, hash(substring(text, i, 200)) AS h FROM (SELECT rec_table, rec_id, text, unnest(range(1, length(text) - 198)) AS i FROM r WHERE length(text) >= 200)),
+d AS (SELECT rec_table, h FROM s GROUP BY ALL HAVING count(DISTINCT rec_id) > 1)
+SELECT DISTINCT rec_table, rec_id FROM s JOIN d USING (rec_table, h)"""
