@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 
-WORD = re.compile("[a-z0-9]+")
+#: Bytes of words stay, all others, those of longer UTF-8 sequences included, part words.
+_WORDS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -23,7 +22,7 @@ class WordHashes(dict):
 
     limit = 500_000
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -32,7 +31,7 @@ class WordHashes(dict):
 
 def gram_set(text: str | None, hashes: WordHashes, width: int) -> np.ndarray:
     """The distinct ``width``-word grams of ``text``, hashed and sorted; empty for null or short texts."""
-    words = WORD.findall(text.lower()) if text else ()
+    words = text.lower().encode("utf-8", "surrogatepass").translate(_WORDS).split() if text else ()
     if len(words) < width:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
