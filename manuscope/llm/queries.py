@@ -118,26 +118,33 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(sized(read(spark, sf_dir, "documents")), "sized")
 
 
+#: Share of a container's tokens that may bear loss; above the share in the texts (about 0.77), so that room for it can be filled.
+LOSS_SHARE = 0.9
+
+
 @query
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers under limits on tokens, segments and loss-bearing tokens."""
     from .packing import pack
 
     items, lim, out = _sized(spark, sf_dir), limits(spark, sf_dir), None
     for name, segments in (("pack_small", 8), ("pack_large", 64)):
-        one = pack(items, lim[name][0], segments).select(F.lit(name).alias("limit_name"), "*")
+        one = pack(items, lim[name][0], segments, LOSS_SHARE).select(F.lit(name).alias("limit_name"), "*")
         out = one if out is None else out.union(one)
     return out
 
 
 @query
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers, tokens and fill of each limit."""
+    """Containers, tokens and fill of each limit; the limit on loss-bearing tokens, the most that a container holds, and how many stand at it."""
     lim = {k: v[0] for k, v in limits(spark, sf_dir).items()}
-    boxes = p8_pack(spark, sf_dir).groupBy("limit_name", "container").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    boxes = p8_pack(spark, sf_dir).groupBy("limit_name", "container").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.sum("loss_tokens").alias("l"))
     cap = F.create_map(*[F.lit(x) for kv in lim.items() for x in kv])[F.col("limit_name")]
+    most = F.create_map(*[F.lit(x) for k, v in lim.items() for x in (k, max(1, int(v * LOSS_SHARE)))])[F.col("limit_name")]
     return boxes.groupBy("limit_name").agg(
-        F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), F.max("n").alias("most_segments"), F.round(F.sum("t") / (F.count("*") * F.max(cap)), 4).alias("fill")
-    )
+        F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), F.max("n").alias("most_segments"), F.round(F.sum("t") / (F.count("*") * F.max(cap)), 4).alias("fill"),
+        F.max(most).alias("loss_limit"), F.max("l").alias("most_loss"), F.count_if(F.col("l") == most).alias("at_loss_limit"),
+    )
 
 
 def _mixed(spark: SparkSession, sf_dir: str):

@@ -240,6 +240,18 @@ def test_packing_keeps_limits(spark, segments, loss):
     assert pack(df.limit(0), 512).count() == 0
 
 
+def test_packing_queries_keep_a_binding_loss_limit(spark):
+    from manuscope.llm import queries as q
+
+    d = "/root/testdata/sf0.001"
+    cap = {k: v[0] for k, v in q.limits(spark, d).items()}
+    boxes = q.p8_pack(spark, d).groupBy("limit_name", "container").agg({"tokens": "sum", "loss_tokens": "sum"}).collect()
+    assert boxes and all(r["sum(loss_tokens)"] <= int(0.9 * cap[r.limit_name]) for r in boxes)
+    fill = {r.limit_name: r for r in q.p8_fill(spark, d).collect()}
+    assert all(r.most_loss <= r.loss_limit < cap[k] for k, r in fill.items()) and fill["pack_small"].at_loss_limit > 0
+    assert all(r.tokens == q._sized(spark, d).agg({"tokens": "sum"}).first()[0] for r in fill.values())
+
+
 def test_pack_block_fills_exactly():
     box = pack_block(np.array([6, 4, 5, 5, 3, 7]), np.zeros(6, int), 10, 9, 10)
     assert len(set(box)) == 3
