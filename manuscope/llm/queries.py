@@ -195,10 +195,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p7_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each record's text occurs in other records of its table."""
-    from .shared_spans import shared_spans
+    """How much of each record's text occurs in other records of its table; 0 where nothing does."""
+    from .shared_spans import record_shares, shared_spans
 
-    return named(shared_spans(records(spark, sf_dir), 200)[1])
+    r = records(spark, sf_dir)
+    return named(record_shares(r, shared_spans(r, 200)[1]))
 
 
 def _read(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,3 +246,16 @@ def _spans(records: DataFrame, wanted: DataFrame, length: int) -> tuple[DataFram
     chars = long.groupBy("rec_table", "rec_id").agg(F.max(F.length("text")).alias("chars"))
     totals = own.groupBy("rec_table", "rec_id").agg(F.sum("new").alias("shared_chars")).join(chars, ["rec_table", "rec_id"])
     return spans, totals.select("rec_table", "rec_id", "chars", "shared_chars", (F.col("shared_chars") / F.col("chars")).alias("share"))
+
+
+def record_shares(records: DataFrame, totals: DataFrame) -> DataFrame:
+    """``totals`` (the second result of ``shared_spans``) with a row for every record, shared or not.
+
+    A record is a distinct rec_table and non-null rec_id.  Where nothing is shared, shared_chars and share are 0;
+    null and empty texts have 0 chars.
+    """
+    every = records.where("rec_id is not null").groupBy("rec_table", "rec_id").agg(F.coalesce(F.max(F.length("text")), F.lit(0)).alias("chars"))
+    found = totals.select("rec_table", "rec_id", "shared_chars", "share")
+    return every.join(found, ["rec_table", "rec_id"], "left").select(
+        "rec_table", "rec_id", "chars", F.coalesce("shared_chars", F.lit(0).cast("long")).alias("shared_chars"), F.coalesce("share", F.lit(0.0)).alias("share")
+    )

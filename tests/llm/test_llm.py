@@ -219,6 +219,20 @@ def test_shared_spans_hot_anchor(spark, monkeypatch):
     assert len(got) == 6 and all(210 <= x <= 220 for x in got)  # the texts around may agree in a few characters
 
 
+def test_share_of_every_record(spark, tmp_path):
+    from manuscope.llm.queries import p7_share
+
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    common, alone = text(250), text(400)
+    rows = [("a", common), ("b", common), ("b", common), ("alone", alone), ("short", "few words"), ("null", None), ("empty", ""), (None, common)]
+    spark.createDataFrame(rows, "id string, text string").write.parquet(str(tmp_path / "who_chunks_semantic.parquet"))
+    spark.createDataFrame([("a", common)], "chunk_id string, text string").write.parquet(str(tmp_path / "nodes_text.parquet"))
+    got = {(r.rec_table, r.rec_id): (r.chars, r.shared_chars, r.share) for r in p7_share(spark, str(tmp_path)).collect()}
+    want = {"a": (250, 250, 1.0), "b": (250, 250, 1.0), "alone": (400, 0, 0.0), "short": (9, 0, 0.0), "null": (0, 0, 0.0), "empty": (0, 0, 0.0)}
+    assert got == {("who_chunks_semantic", k): v for k, v in want.items()} | {("nodes_text", "a"): (250, 0, 0.0)}
+
+
 def test_anchor_in_every_span():
     t = "".join(random.Random(1).choice("abc d") for _ in range(3000))
     _, at, h = anchors([t], 200)
