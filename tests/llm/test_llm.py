@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -332,3 +333,26 @@ def test_scan_noise(spark):
     assert "should record the number of" in out[0, "n"].text and "under the second shelf" in out[0, "n"].text and "water-bath" in out[0, "n"].text
     assert out[0, "g1"].kinds == [] and out[0, "z"].text is None and out[0, "b"].text == "" and out[1, "n"].kinds == []
     assert read_scans(df.limit(0), m).count() == 0
+
+
+def test_scan_vocabulary_has_no_rank_cut(spark, monkeypatch):
+    import manuscope.llm.scan_noise as m
+
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(" ".join(f"w{min(rnd.randrange(60), rnd.randrange(60))}x" for _ in range(50)),) for _ in range(40)], "text string")
+    words, counts, vectors, contexts = m.learn(df)[:4]
+    monkeypatch.setattr(m, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(m, "VOCABULARY", 7, raising=False)
+    again = m.learn(df)
+    true = {w: n for w, n in Counter(" ".join(r.text for r in df.collect()).split()).items() if n >= m.LEAST_COUNT}
+    assert dict(zip(again[0], again[1])) == true and len(true) > 50 and again[0] == words
+    assert np.allclose(vectors @ vectors.T, again[2] @ again[2].T, rtol=1e-3, atol=1e-3) and np.allclose(vectors @ contexts.T, again[2] @ again[3].T, rtol=1e-3, atol=1e-3)
+
+
+def test_scan_noise_counts_rare_words(spark):
+    text = "The trained operator should note the {} on the second shelf before the next shift."
+    rows = [(0, f"{w}{i}", "M", text.format(w), "k") for w, n in (("comer", 20), ("corner", 4), ("tumer", 20), ("turner", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "rec_table int, rec_id string, manual string, text string, kinds string")
+    out = {r.rec_id: r for r in read_scans(df, spark.createDataFrame([("M", "Bench Guide")], "manual string, title string")).collect()}
+    assert all(out[f"corner{i}"].kinds == [] and "corner" in out[f"corner{i}"].text for i in range(4))  # 20 uses are not 8 times 4
+    assert out["turner0"].kinds == ["misread"] and "tumer" in out["turner0"].text
