@@ -12,7 +12,7 @@ from ..runtime import read
 from . import ask as chain
 from .building import edge_table
 from .registry import query
-from .tables import SQL_NODES, SQL_QUESTIONS, SQL_WORDS, longs, nodes, questions
+from .tables import SQL_NODES, SQL_QUESTIONS, SQL_WORDS, asked, longs, nodes, questions
 
 
 def _quote(s: str) -> str:
@@ -129,9 +129,14 @@ def concept_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumns({c: F.array_join(F.col(c).cast("array<string>"), " ") for c in ("matched_concepts", "text_ids", "pages", "roles")})
 
 
-def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 12 text nodes that cover each question best."""
-    u, n = understanding.understand(questions(spark)), nodes(spark, sf_dir).select("id", "page", "text")
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample questions, numbered below 20, and the stated queries, whose numbers are divisible by 20."""
+    return questions(spark).union(asked(spark, sf_dir).select("qid", F.col("text").alias("question")))
+
+
+def _evidence(spark: SparkSession, sf_dir: str, q: DataFrame | None = None) -> DataFrame:
+    """The 12 text nodes that cover each question best; of the sample questions, unless others are given."""
+    u, n = understanding.understand(questions(spark) if q is None else q), nodes(spark, sf_dir).select("id", "page", "text")
     hits = lexical.coverage_topk(n, u.select("qid", F.col("question").alias("text")), 12).select("qid", "id", "rank")
     return hits.join(n, "id").join(u, "qid").select("qid", "question", "intent", "core_concepts", "entities", "id", "page", "text", "rank")
 
@@ -247,12 +252,14 @@ def definition_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def bundle_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(answering.bundle_scores(answering.bundles(_evidence(spark, sf_dir))))
+    """Bundles of the sample questions and the stated queries."""
+    return longs(answering.bundle_scores(answering.bundles(_evidence(spark, sf_dir, _both(spark, sf_dir)))))
 
 
 @query(None)
 def bundle_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(answering.flatten(answering.bundles(_evidence(spark, sf_dir))))
+    """The same bundles as places of texts."""
+    return longs(answering.flatten(answering.bundles(_evidence(spark, sf_dir, _both(spark, sf_dir)))))
 
 
 _STORE = "[" + ", ".join(map(_quote, L.STORAGE_WORDS)) + "]"
@@ -311,7 +318,8 @@ def markdown_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answering.prompt(_evidence(spark, sf_dir).where("rank <= 5").withColumnRenamed("rank", "place"))
+    """Prompts of the sample questions and the stated queries."""
+    return answering.prompt(_evidence(spark, sf_dir, _both(spark, sf_dir)).where("rank <= 5").withColumnRenamed("rank", "place"))
 
 
 @query(None)

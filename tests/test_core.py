@@ -251,6 +251,20 @@ def test_plans_stay_in_the_engine(spark):
         assert not re.search(r"Python|Pandas|MapInArrow|CartesianProduct", plan), name
 
 
+def test_logged_questions_are_read(spark):
+    """Queries without SQL that search for evidence take the stated queries of the answer log too."""
+    import __spark_entry__ as entry
+    from manuscope.operators import lexical
+    from manuscope.plans.tables import asked, nodes, questions
+
+    d = "/root/testdata/sf0.001"
+    both = questions(spark).withColumnRenamed("question", "text").union(asked(spark, d))
+    want = {r.qid for r in lexical.coverage_topk(nodes(spark, d).select("id", "text"), both, 12).select("qid").distinct().collect()}
+    assert any(x >= 20 for x in want) and any(x < 20 for x in want)
+    for name in ("bundle_score", "bundle_flatten", "prompts"):
+        assert {r.qid for r in entry.queries()[name](spark, d).select("qid").collect()} == want, name
+
+
 def test_rest_does_not_import_llm():
     import os
 
