@@ -170,7 +170,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..runtime import cut
     from .neighbours import nearest, usable
 
-    pairs = nearest(cut(usable(read(spark, sf_dir, "chunk_vectors"), "chunk_id", "row_id"), "units"), k=5, floor=0.85)
+    pairs = nearest(cut(usable(read(spark, sf_dir, "chunk_vectors"), "chunk_id", "row_id"), "units"), k=5, floor=0.85, recall=0.998)
     return pairs.select(F.least("id", "other").alias("chunk_a"), F.greatest("id", "other").alias("chunk_b")).distinct()
 
 
@@ -183,7 +183,7 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = cut(usable(read(spark, sf_dir, "chunk_vectors"), "chunk_id", "row_id"), "units")
     asked = units.where(F.try_to_number(F.substring("id", 3, 20), F.lit("99999999999999999999")) % 20 == 0).select("id")
     stored = read(spark, sf_dir, "rel_text_text").groupBy(F.col("src_chunk_id").alias("id"), F.col("dst_chunk_id").alias("other")).agg(F.max(F.when(F.col("cosine").between(-1, 1), F.col("cosine"))).alias("stored_cosine"))
-    return nearest(units, k=5, queries=asked).join(stored, ["id", "other"], "left").select("id", "other", "rank", "cosine", "stored_cosine")
+    return nearest(units, k=5, recall=0.95, queries=asked).join(stored, ["id", "other"], "left").select("id", "other", "rank", "cosine", "stored_cosine")
 
 
 @query

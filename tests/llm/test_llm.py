@@ -185,6 +185,50 @@ def test_nearest_against_brute_force(spark):
     assert nearest(u.limit(0), 5, -1.0, 16).count() == 0
 
 
+def _recall(spark, x, floor, recall, queries=None, width=64, copies=0):
+    rows = [(f"v{i:05d}", [float(y) for y in v]) for i, v in enumerate(x)]
+    u = spark.createDataFrame(rows, "id string, unit array<float>").repartition(4)
+    asked = None if queries is None else spark.createDataFrame([(f"v{i:05d}",) for i in queries], "id string")
+    got = {(r.id, r.other) for r in nearest(u, 5, floor, width, recall, asked).collect()}
+    check = range(0, len(x), 17) if queries is None else queries
+    want = set()
+    for i in check:
+        s = x @ x[i]
+        s[i] = -2
+        want |= {(f"v{i:05d}", f"v{j:05d}") for j in np.argsort(-s, kind="stable")[:5] if s[j] >= floor}
+    return len(got & want) / len(want), {a for a, _ in got}
+
+
+def test_nearest_recall_without_floor(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((8000, 64)) + np.repeat(rng.standard_normal((400, 64)), 20, 0)  # hardly any structure
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    assert _recall(spark, x, -1.0, 0.95)[0] >= 0.9
+    asked = list(range(0, 8000, 160))
+    share, ids = _recall(spark, x, -1.0, 0.97, asked)
+    assert share >= 0.9 and ids == {f"v{i:05d}" for i in asked}
+
+
+def test_nearest_with_a_third_in_one_place(spark, monkeypatch):
+    import manuscope.llm.neighbours as m
+
+    monkeypatch.setattr(m, "RANGE", 300)  # windows reach over many ranges
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 64))
+    x[::3] = x[0] + 1e-4 * rng.standard_normal((1000, 64))  # one cell of every curve
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    places, _ = m.fit(spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "class long, unit array<float>"), 3000, 5, -1.0, 0.9, 64)
+    pos = places.of(0, m.keys_of(x)[0], np.arange(3000)) * 3000
+    assert np.bincount((pos // 300).astype(int)).max() < 450
+    assert _recall(spark, x[1::3], -1.0, 0.97)[0] >= 0.9
+
+
+def test_usable_vectors(spark):
+    rows = [("a", 1, [3.0, 4.0]), ("a", 2, [1.0, None]), ("b", 1, [1e30, 0.0]), ("c", 1, [float("inf"), 1.0]), ("d", 1, None), ("e", None, [0.0, 2.0]), (None, 3, [1.0, 1.0]), ("f", 1, [0.0, 0.0]), ("g", 1, [1e-30, 0.0])]
+    u = usable(spark.createDataFrame(rows, "k string, version long, embedding array<float>"), "k", "version", width=2)
+    assert {r.id: [round(v, 4) for v in r.unit] for r in u.collect()} == {"a": [0.6, 0.8], "b": [1.0, 0.0], "e": [0.0, 1.0], "g": [1.0, 0.0]}
+
+
 def test_shared_spans_against_brute_force(spark):
     rnd = random.Random(7)
     base = "".join(rnd.choice("abcdefgh ") for _ in range(900))
