@@ -348,6 +348,72 @@ def test_residue(text, kind):
     assert Detector().residue(text) == kind
 
 
+#: Real content of other languages and kinds, none of it residue.
+CONTENT = {
+    'pl': 'Laboratorium powinno przechowywać wszystkie próbki w zamkniętej lodówce, a temperatura musi być sprawdzana codziennie rano. Jeśli drzwi pozostają otwarte dłużej niż pięć minut, należy powiadomić kierownika zmiany i zapisać zdarzenie w dzienniku. Po zakończeniu pracy trzeba umyć blaty, wynieść odpady oraz zamknąć szafę bezpieczeństwa.',
+    'it': "Il laboratorio deve conservare tutti i campioni in un frigorifero chiuso e la temperatura va controllata ogni mattina. Se la porta rimane aperta per più di cinque minuti, bisogna avvisare il responsabile del turno e registrare l'evento nel diario. Alla fine del lavoro si lavano i banchi, si portano fuori i rifiuti e si chiude la cappa.",
+    'pt': 'O laboratório deve guardar todas as amostras num frigorífico fechado e a temperatura tem de ser verificada todas as manhãs. Se a porta ficar aberta mais de cinco minutos, avise o chefe de turno e registe o caso no livro. No fim do trabalho lavam-se as bancadas, levam-se os resíduos e fecha-se a câmara.',
+    'fi': 'Laboratorion on säilytettävä kaikki näytteet suljetussa jääkaapissa ja lämpötila on tarkistettava joka aamu. Jos ovi on auki yli viisi minuuttia, ilmoita vuoron esimiehelle ja kirjaa tapahtuma päiväkirjaan. Työn jälkeen pöydät pestään, jätteet viedään ulos ja turvakaappi suljetaan huolellisesti.',
+    'tr': 'Laboratuvar bütün numuneleri kapalı bir buzdolabında saklamalı ve sıcaklık her sabah kontrol edilmelidir. Kapı beş dakikadan uzun süre açık kalırsa vardiya sorumlusuna haber verin ve olayı deftere yazın. İş bitince tezgahlar yıkanır, atıklar dışarı çıkarılır ve güvenlik dolabı kapatılır.',
+    'la': 'Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae, nostra Galli appellantur. Hi omnes lingua, institutis, legibus inter se differunt. Gallos ab Aquitanis Garumna flumen, a Belgis Matrona et Sequana dividit. Horum omnium fortissimi sunt Belgae.',
+    'sw': 'Maabara inapaswa kuhifadhi sampuli zote katika jokofu lililofungwa na halijoto ikaguliwe kila asubuhi. Mlango ukibaki wazi kwa zaidi ya dakika tano, mjulishe msimamizi wa zamu na uandike tukio hilo kwenye kitabu. Baada ya kazi meza zinaoshwa, taka zinatolewa nje na kabati la usalama linafungwa.',
+    'ru': 'Лаборатория должна хранить все образцы в закрытом холодильнике, а температуру нужно проверять каждое утро. Если дверь открыта дольше пяти минут, сообщите начальнику смены и запишите случай в журнал. После работы столы моют, отходы выносят, а шкаф безопасности закрывают.',
+    'vi': 'Phòng thí nghiệm phải giữ tất cả các mẫu trong tủ lạnh đóng kín và nhiệt độ phải được kiểm tra mỗi buổi sáng. Nếu cửa mở lâu hơn năm phút, hãy báo cho trưởng ca và ghi sự việc vào sổ. Sau khi làm việc phải rửa bàn, mang rác ra ngoài và đóng tủ an toàn.',
+    'id': 'Laboratorium harus menyimpan semua sampel di dalam kulkas tertutup dan suhu harus diperiksa setiap pagi. Jika pintu terbuka lebih dari lima menit, beri tahu kepala regu dan catat kejadian itu di buku harian. Setelah pekerjaan selesai meja dicuci, sampah dibuang dan lemari pengaman ditutup.',
+    'inv': 'Beaker 250 ml 12 pcs\nPipette tips 200 ul 40 boxes\nGloves nitrile M 18 packs\nCentrifuge tubes 15 ml 300 pcs\nEthanol 96 % 25 l\nPetri dishes 90 mm 500 pcs\nParafilm 3 rolls\nCryovials 2 ml 250 pcs\nAutoclave bags large 60 pcs',
+    'py': "import os\n\nclass Reader:\n    def __init__(self, path):\n        self.path = path\n\n    def __repr__(self):\n        return f'Reader({self.path})'\n\n    def rows(self):\n        with open(self.path) as f:\n            for line in f:\n                yield line.rstrip().split(',')\n\nif __name__ == '__main__':\n    print(list(Reader('data.csv').rows()))",
+    'sh': 'The variable ${HOME} holds the path of your home directory. To add a folder to the search path, write export PATH=${HOME}/bin:${PATH} into the profile file. After that every program in the folder can be started by name.',
+    'jinja': 'A Jinja template is a text with tags. The engine replaces {{ name }} by the value of the variable and {% if user %} opens a block that ends with {% endif %}. Filters are written with a bar after the name of the variable.',
+    'dunder': 'Python calls __init__ when an object is made, and __repr__ when it is shown. A module that is run by itself has the name __main__ and imports of it keep their own.',
+    'icu': 'Patients in the intensive care unit [ICU] were seen every morning by the team. The ward lead checked the pumps and wrote the values into the chart.',
+    'key': 'Press <KEY> to go on, or <ESC> to leave the menu. The display shows the last value until the lid is opened again.',
+    'make': 'The makefile uses $(CC) as the compiler and $(CFLAGS) for its options. Run make again after the headers have been changed.',
+    'es«»': 'El manual llama «vitrina» a la cabina y «bata» a la ropa de trabajo. En cada puesto hay una lista con los nombres que usa el equipo.',
+    'wiki': 'The cell was named by [[Robert Hooke]] in 1665, who looked at cork under a [[microscope]] and saw rows of small rooms.',
+    'pinyin': 'Qing ba suo you yang pin fang zai bing xiang li, mei tian zao shang jian cha wen du. Ru guo men kai zhe chao guo wu fen zhong, qing tong zhi ban zhang bing qie ji lu zai ben zi shang.',
+    'err': 'When the viewer shows the message access denied, ask the unit lead for a new card. The door stays shut until the card has been read, and the event is written into the log of the day.',
+}
+NOTICES = {
+    'den': 'Access to this resource on the server is denied!',
+    'cap': 'Please verify you are human. Complete the CAPTCHA below to continue.',
+    'cook': 'Cookies are disabled in your browser. Please enable cookies to continue.',
+    'it404': 'Pagina non trovata. La pagina richiesta non esiste.',
+    'pl404': 'Nie znaleziono strony. Strona, której szukasz, nie istnieje.',
+    'zh404': '页面不存在。您访问的页面已被删除。',
+    'ja404': 'ページが見つかりません。お探しのページは削除された可能性があります。',
+    'itjs': 'Per favore abilita JavaScript per continuare.',
+    'pljs': 'Włącz JavaScript, aby wyświetlić tę stronę.',
+    'jajs': 'このサイトを利用するにはJavaScriptを有効にしてください。',
+    'zhjs': '请启用JavaScript以继续访问。',
+    'lorem': 'Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.',
+}
+
+
+@pytest.mark.parametrize("name", CONTENT)
+def test_content_is_no_residue(name):
+    assert Detector().residue(CONTENT[name]) is None
+
+
+@pytest.mark.parametrize("name", NOTICES)
+def test_notices_of_many_languages(name):
+    assert Detector().residue(NOTICES[name]) is not None
+
+
+def test_residue_learns_from_all_documents(spark):
+    rnd = random.Random(6)
+    mock = "lorem grundel pastik vomer halquin tresk ipsum orfel".split()
+    parts = "bra kol tem vus nar gil dop fex hum jat lir mok".split()
+    made = lambda n: " ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 3))) for _ in range(n))
+    rows = [(i, " ".join(rnd.choice(mock) for _ in range(40)) + ".") for i in range(30)] + [(100 + i, made(60)) for i in range(20)]
+    rows += [(200, "Grundel pastik vomer halquin tresk orfel."), (201, made(16)), (202, "Hand the form to [OFFICER] at the gate."), (203, "Valid for {officer} until Monday."), (204, "Hand the form to [ICU] at the gate.")]
+    rows += [(300 + i, t) for i, t in enumerate(CONTENT.values())] + [(400, None), (401, " "), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.kind for r in template_residue(df).collect()}
+    assert {i for i, k in got.items() if k == "filler"} == {None, *range(30), *range(100, 120), 200, 201}
+    assert {i for i, k in got.items() if k == "placeholder"} == {202, 203} and len(got) == 55
+    assert template_residue(df.where("doc_id = 400")).count() == 0 and template_residue(df.limit(0)).count() == 0
+
+
 def test_residue_table(spark):
     df = spark.createDataFrame([(1, "Lorem ipsum dolor sit amet", "a"), (2, "The tray is kept on the shelf.", "b"), (None, None, None), (1, "Lorem ipsum dolor sit amet", "a")], "doc_id long, text string, kind string")
     assert [r.doc_id for r in template_residue(df).collect()] == [1, 1]
