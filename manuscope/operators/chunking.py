@@ -39,7 +39,8 @@ def semantic(docs: DataFrame, chunk: int = 1000, overlap: int = 150, threshold:
 
     A chunk ends before a sentence unlike the one before (cosine of hashed words below ``threshold``) once it
     has ``least`` tokens, or when full; the next starts with the last ``overlap`` tokens.  The sizes must be
-    0 < overlap < least < chunk, or packing would not advance.  Each text is packed by itself; texts are never
+    0 < overlap < least < chunk, or packing would not advance.  As in the rule followed here, what a sentence has beyond
+    the room of its chunk is left out, so sentences longer than ``chunk`` lose their ends.  Each text is packed by itself; texts are never
     grouped.  Offsets are approximate: a chunk starts at the last one's end less the overlap.
     """
     if not 0 < overlap < least < chunk:

@@ -54,8 +54,9 @@ def entity_filter(df: DataFrame, neighbours: DataFrame | None = None) -> DataFra
     return keep_or_all(df, keep).drop("_near")
 
 
-def concept_filter(df: DataFrame) -> DataFrame:
-    """For definition questions the rows with half of the concept's expanded words; all if there are none."""
+def concept_filter(df: DataFrame, neighbours: DataFrame | None = None, near: int = 20) -> DataFrame:
+    """For definition questions the rows with half of the concept's expanded words, or with one of them in the label or id of
+    one of their ``near`` best similar neighbours (seed, dst, rel_type, score); all if there are none."""
     low, after = F.lower("question"), F.lit("")
     for p in reversed(L.QUESTION_PREFIXES):
         after = F.when(low.contains(p), F.expr(f"substring(lower(question), instr(lower(question), '{p}') + {len(p)})")).otherwise(after)
@@ -63,7 +64,13 @@ def concept_filter(df: DataFrame) -> DataFrame:
     c = T.expanded(words)
     needed = F.greatest(F.lit(1), F.floor(F.size(c) / 2))
     keep = (F.size(c) == 0) | (F.size(F.array_intersect(T.expanded(F.col("text")), c)) >= needed)
-    return keep_or_all(df, keep)
+    if neighbours is None:
+        return keep_or_all(df, keep)
+    best = Window.partitionBy("seed").orderBy(F.desc("score"), "dst")
+    n = neighbours.where("rel_type = 'SIMILAR_TO'").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= near)
+    n = n.groupBy(F.col("seed").alias("id")).agg(T.expanded(F.concat_ws(" ", F.lit("text"), F.collect_set("dst"))).alias("_near"))
+    touched = F.coalesce(F.arrays_overlap("_near", c), F.lit(False))
+    return keep_or_all(df.join(n, "id", "left"), keep | touched).select(*df.columns)
 
 
 def hard_concepts(df: DataFrame, least: float = 0.5) -> DataFrame:
@@ -78,7 +85,7 @@ def semantic_filter(df: DataFrame, neighbours: DataFrame | None = None) -> DataF
     triggered = T.any_of(F.lower("question"), [t for r in L.SEMANTIC_RULES.values() for t in r[0]])
     usable = ~T.looks_like_index(F.col("text")) & (F.size(F.split(F.trim("text"), r"\s+")) >= 15)
     df = df.withColumn("_ok", F.max(usable.cast("int")).over(Window.partitionBy("qid"))).where("_ok = 1").drop("_ok").withColumn("_rule", triggered)
-    ruled = hard_concepts(concept_filter(entity_filter(section_filter(rule_filter(df.where("_rule"))), neighbours)))
+    ruled = hard_concepts(concept_filter(entity_filter(section_filter(rule_filter(df.where("_rule"))), neighbours), neighbours))
     return ruled.select(*df.columns).union(df.where("not _rule")).drop("_rule")
 
 
@@ -88,17 +95,21 @@ def with_evidence(df: DataFrame) -> DataFrame:
     return df.withColumn("_e", e).withColumn("matches", F.col("_e.ok")).withColumn("reason", F.col("_e.reason")).drop("_e")
 
 
-def definition_lock(evidence: DataFrame, first: int = 10, least: float = 0.6) -> DataFrame:
-    """qid, share: of a definition question's longer concepts (first 5 distinct), the share that its first texts match by 0.6.
+def definition_lock(questions: DataFrame, evidence: DataFrame, first: int = 10, least: float = 0.6, lenient: float = 0.4) -> DataFrame:
+    """qid, share, locked, reason of every definition question (qid, intent, core_concepts, fallback_triggered).
 
-    Only texts with matching evidence count.  ``locked`` says that the share is below ``least``.
+    ``share``: of its longer concepts (first 5 distinct) those whose expanded words the first ``first`` texts with matching
+    evidence hold together by 0.6.  A question is locked without such texts, or with a share below ``least``, which
+    is ``lenient`` where validation fell back; one without longer concepts has a share of 0.
     """
-    d = evidence.where((F.col("intent") == "definition") & F.col("matches")).where(F.col("rank") <= first)
+    d = evidence.where((F.col("intent") == "definition") & F.col("matches")).withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id"))).where(F.col("_r") <= first)
+    t = d.groupBy("qid").agg(T.expanded(F.concat_ws("\n", F.collect_list("text"))).alias("t"))
     wide = F.slice(F.filter(F.array_distinct("core_concepts"), lambda c: F.contains(c, F.lit(" ")) | (F.length(c) > 5)), 1, 5)
-    c = d.select("qid", T.expanded(F.col("text")).alias("t"), F.explode(wide).alias("concept"))
-    best = c.groupBy("qid", "concept").agg(F.max(T.match_score(F.col("concept"), F.col("t"))).alias("s"))
-    share = F.round(F.avg((F.col("s") >= 0.6).cast("double")), 6)
-    return best.groupBy("qid").agg(share.alias("share")).withColumn("locked", F.col("share") < least)
+    q = questions.where("intent = 'definition'").select("qid", wide.alias("wide"), F.when(F.coalesce("fallback_triggered", F.lit(False)), lenient).otherwise(least).alias("bound")).join(t, "qid", "left")
+    met = F.size(F.filter("wide", lambda c: T.match_score(c, F.col("t")) >= 0.6))
+    share = F.when(F.col("t").isNull(), 0.0).otherwise(F.round(met / F.greatest(F.lit(1), F.size("wide")), 6))
+    reason = F.when(F.col("t").isNull(), "No definition evidence found in retrieved documents.").when(share < F.col("bound"), "Definition evidence does not cover the concepts.").otherwise("")
+    return q.select("qid", share.alias("share"), (reason != "").alias("locked"), reason.alias("reason"))
 
 
 def abstention(questions: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..runtime import cut
+from . import blocks
 
 
 def grams(words: Column, n: int = 2) -> Column:
@@ -45,37 +46,39 @@ def unit_rows(weighted: DataFrame) -> DataFrame:
     return w.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def _packed(weights: DataFrame, key: str, w: str) -> DataFrame:
+    """A row for each ``key`` with its terms and their weights."""
+    x = weights.groupBy(key).agg(F.collect_list(F.struct("term", F.col(w).cast("double").alias("w"))).alias("x"))
+    return x.select(key, F.col("x.term").alias("terms"), F.col("x.w").alias("ws"))
+
+
 def search(weights: DataFrame, vocab: DataFrame, queries: DataFrame, k: int, n: int = 2, stop: list[str] | None = None) -> DataFrame:
     """qid, id, score, rank: cosine of TF-IDF rows, positive scores only, ties by id."""
     q = term_counts(queries.select(F.col("qid").alias("id"), "text"), n, stop).join(F.broadcast(vocab), "term")
-    q = unit_rows(q).select(F.col("id").alias("qid"), "term", F.col("w").alias("qw"))
-    s = weights.join(q, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score")).where("score > 0")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    q = _packed(unit_rows(q), "id", "w").withColumnRenamed("id", "qid")
+    return blocks.topk(_packed(weights, "id", "w"), q, k, blocks.sparse, 6, 1e-6)
 
 
-def knn_edges(docs: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.25, size: int = 50_000) -> DataFrame:
-    """src, dst, score: the ``k`` texts most like each of ``queries`` (id) by TF-IDF cosine of at least ``least``.
+def knn_edges(docs: DataFrame, queries: DataFrame | None = None, k: int = 5, least: float = 0.25, size: int = 50_000) -> DataFrame:
+    """src, dst, score: the ``k`` texts most like each of ``queries`` (id; all texts without it) by TF-IDF cosine of at least ``least``.
 
-    The queries are a stated set against all rows; score has 4 places; a text is no neighbour of itself.
+    Queries meet all rows in blocks; score has 4 places; a text is no neighbour of itself.
     """
     weights, _ = tfidf(docs, size)
-    weights = cut(weights, "weights")
-    q = weights.join(queries.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("src"), "term", F.col("w").alias("qw"))
-    s = weights.join(q, "term").where("src <> id").groupBy("src", F.col("id").alias("dst")).agg(F.sum(F.col("w") * F.col("qw")).alias("s"))
-    w = Window.partitionBy("src").orderBy(F.desc(F.round("s", 9)), "dst")
-    top = s.withColumn("r", F.row_number().over(w)).where((F.col("r") <= k) & (F.round("s", 9) >= least))
-    return top.select("src", "dst", F.round("s", 4).alias("score"))
+    rows = cut(_packed(weights, "id", "w"), "rows")
+    q = (rows if queries is None else rows.join(queries.select("id").distinct(), "id", "left_semi")).withColumnRenamed("id", "qid")
+    top = blocks.topk(rows, q, k, blocks.sparse, 9, least, same=False)
+    return top.select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.round("score", 4).alias("score"))
 
 
 def coverage_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """qid, id, score, rank: share of a query's distinct words (over two characters) that a text has."""
     words = lambda t: F.array_distinct(F.filter(T.terms(t), lambda w: F.length(w) > 2))
-    q = queries.select("qid", words(F.col("text")).alias("w")).select("qid", F.size("w").alias("n"), F.explode("w").alias("term"))
-    d = docs.select("id", F.explode(words(F.col("text"))).alias("term"))
-    s = d.join(q, "term").groupBy("qid", "id").agg(F.round(F.count("*") / F.max("n"), 6).alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ones = F.transform("terms", lambda _: F.lit(1.0))
+    q = cut(queries.select("qid", words(F.col("text")).alias("terms")).where(F.size("terms") > 0).withColumn("ws", ones), "asked")
+    d = docs.select("id", words(F.col("text")).alias("terms")).where(F.size("terms") > 0).withColumn("ws", ones)
+    hits = blocks.topk(d, q, k, blocks.sparse, 0, 1)
+    return hits.join(q.select("qid", F.size("terms").alias("n")).distinct(), "qid").select("qid", "id", F.round(F.col("score") / F.col("n"), 6).alias("score"), "rank")
 
 
 def best_sentences(hits: DataFrame, limit: int = 6, split=T.sentences) -> DataFrame:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..runtime import broadcast_if_small, cut
 
 
 def intent(q: Column) -> tuple[Column, Column]:
@@ -61,6 +58,7 @@ def understand(questions: DataFrame) -> DataFrame:
 
 def expansions(understood: DataFrame, most: int = 10) -> DataFrame:
     """qid, variant, query: the question and its variants with a concept replaced by an alias, by order of text after the question itself."""
+    understood = cut(understood.select("qid", "question", "core_concepts"), "understood")
     low = F.lower("question")
     c = understood.select("qid", low.alias("q"), F.explode("core_concepts").alias("concept"))
     pairs = [F.struct(F.lit(k).alias("key"), F.array(*map(F.lit, v)).alias("aliases")) for k, v in L.ALIASES.items()]
@@ -92,26 +90,19 @@ def canonical(term: Column) -> tuple[Column, Column]:
     return name, F.when(name.isNull(), none).otherwise(F.array_sort(aliases))
 
 
-def _quoted(t: Column) -> Column:
-    return F.regexp_replace(t, r"([\\.^$|?*+()\[\]{}-])", r"\\$1")
-
-
-def _matching(patterns: list[str]):
-    """Rows (id, page, role, text) once for each pattern that their text holds."""
+def phrase_words(t: Column) -> Column:
+    """The words of a text in order; blanks and hyphens stand between words, other marks are words that no phrase has."""
+    return F.filter(F.split(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_\s-]+", " \x01 "), r"[\s-]+"), lambda x: x != "")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [re.compile(p, re.I) for p in patterns]
-        for b in batches:
-            which, at = [], []
-            for i, t in enumerate(b[3].to_pylist()):
-                if t:
-                    found = [p.pattern for p in compiled if p.search(t)]
-                    which += found
-                    at += [i] * len(found)
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.string()), b[0].take(at), b[1].take(at), b[2].take(at)], names=["pattern", "id", "page", "role"])
 
-    return run
+def phrase_grams(w: Column, most: int) -> Column:
+    """The distinct runs of up to ``most`` of the words."""
+    out, last, none = w, w, F.array().cast("array<string>")
+    for n in range(2, most + 1):
+        last = F.when(F.size(w) >= n, F.zip_with(last, F.slice(w, n, F.greatest(F.size(w) - n + 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(none)
+        last = F.filter(last, lambda x: x.isNotNull())
+        out = F.concat(out, last)
+    return F.array_distinct(out)
 
 
 def validate(understood: DataFrame, texts: DataFrame, most_patterns: int = 30, most_texts: int = 200) -> DataFrame:
@@ -119,23 +110,24 @@ def validate(understood: DataFrame, texts: DataFrame, most_patterns: int = 30, m
 
     The texts (id, page, text) that hold a canonical concept as a phrase count; where a question has none, those
     with an alias; then those that mention biosafety; each tier at most ``most_texts``, by id.  A question
-    without concepts and entities finds nothing.  Patterns of all questions are one small table.
+    without concepts and entities finds nothing.  Phrases meet the texts by their words, whatever the number of questions.
     """
+    understood = cut(understood.select("qid", "core_concepts", "entities"), "understood")
     terms = understood.select("qid", F.explode(F.concat("core_concepts", "entities")).alias("term")).distinct()
     name, aliases = canonical(F.col("term"))
     c = terms.select("qid", name.alias("canonical"), aliases.alias("aliases")).where("canonical is not null")
     phrases = c.select("qid", "canonical", F.col("canonical").alias("p"), F.lit(1).alias("tier")).union(c.select("qid", "canonical", F.explode("aliases").alias("p"), F.lit(2).alias("tier")))
     sections = understood.where(F.size(F.concat("core_concepts", "entities")) > 0).select("qid", F.lit("biosafety").alias("canonical"), F.lit("biosafety").alias("p"), F.lit(3).alias("tier"))
     w = Window.partitionBy("qid", "tier").orderBy(F.desc(F.size(F.split("p", " "))), "p")
-    phrases = phrases.distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= most_patterns).drop("n").union(sections)
-    pattern = F.concat(F.lit(r"\b"), F.regexp_replace(_quoted(F.col("p")), " ", r"[\\s-]+"), F.lit(r"\b"))
-    rows = phrases.withColumn("pattern", pattern)
-    # a batch of questions has at most 61 patterns each; every task compiles each once
-    patterns = sorted(r[0] for r in rows.select("pattern").distinct().collect())
-    hit = texts.withColumn("role", T.content_role(F.col("text"))).select("id", "page", "role", "text")
-    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in ("id", "page"))
-    hit = hit.mapInArrow(_matching(patterns), f"pattern string, {kinds}, role string")
-    per = rows.join(hit, "pattern").groupBy("qid", "tier", "id", "page", "role").agg(F.collect_set("canonical").alias("canonical"))
+    phrases = phrases.withColumn("p", F.replace("p", F.lit("-"), F.lit(" "))).distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= most_patterns).drop("n")
+    rows = cut(phrases.union(sections), "phrases")
+    longest = rows.agg(F.max(F.size(F.split("p", " ")))).first()[0] or 1
+    hit = texts.select("id", "page", T.content_role(F.col("text")).alias("role"), phrase_words(F.col("text")).alias("w"))
+    hit = hit.select("id", "page", "role", F.explode(phrase_grams(F.col("w"), longest)).alias("p"))
+    hit = hit.join(broadcast_if_small(cut(rows.select("p").distinct(), "wanted")), "p")
+    # of a tier's first texts by id each is among the first of every phrase it holds
+    hit = hit.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("id"))).where(F.col("n") <= most_texts).drop("n")
+    per = rows.join(hit, "p").groupBy("qid", "tier", "id", "page", "role").agg(F.collect_set("canonical").alias("canonical"))
     best = per.groupBy("qid").agg(F.min("tier").alias("tier"))
     v = Window.partitionBy("qid").orderBy("id")
     kept = per.join(best, ["qid", "tier"]).withColumn("n", F.row_number().over(v)).where(F.col("n") <= most_texts)

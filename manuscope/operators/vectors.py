@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of one block: their matrix is what a task holds, 4 MB at 256 dimensions.
-BLOCK = 2_000
+from . import blocks
 
 
 class Embedder(Protocol):
@@ -67,39 +66,11 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
-def _blocks(q: DataFrame):
-    """The stated queries in blocks of bounded size, one at a time."""
-    ids, vs = [], []
-    for r in q.orderBy("qid").toLocalIterator():
-        ids.append(r[0]), vs.append(r[1])
-        if len(ids) == BLOCK:
-            yield ids, np.array(vs, np.float64)
-            ids, vs = [], []
-    if ids:
-        yield ids, np.array(vs, np.float64)
-
-
-def _score_block(block, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qm = block.value
-        for b in batches:
-            if not len(b):
-                continue
-            x = np.array(b[1].to_pylist(), np.float64)
-            s = np.round(qm @ x.T, 6)
-            m = min(k, len(b))
-            # ties at the edge stay, so that the order by id decides among them
-            r, col = np.nonzero(s >= -np.partition(-s, m - 1, axis=1)[:, m - 1 : m])
-            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in r]), b[0].take(pa.array(col)), pa.array(s[r, col])], names=["qid", "id", "score"])
-
-    return run
-
-
 def topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", allow: DataFrame | None = None) -> DataFrame:
     """qid, id, score, rank: the ``k`` largest inner products of each query, ties by id; score rounded to 6 places.
 
     ``corpus``: ``id_col`` and embedding; ``queries``: qid and embedding, a stated set that is compared with all rows
-    block by block, each block a matrix of BLOCK queries.  ``allow`` (qid, id): what a query may
+    in blocks.  ``allow`` (qid, id): what a query may
     find; a query without rows there finds nothing.  Rows without a vector, and a row of a query's own, are no
     special case: filter them before.  Fewer than k rows give fewer results.
     """
@@ -110,15 +81,9 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", allo
         # the allowed rows come before the ranking, so that none of the k is lost
         pairs = allow.select("qid", "id").distinct().join(c, "id").join(q.withColumnRenamed("embedding", "qv"), "qid")
         scored = pairs.select("qid", "id", F.round(dot(F.col("embedding"), F.col("qv")), 6).alias("score"))
-    else:
-        scored = None
-        for i, (qids, qm) in enumerate(_blocks(q)):
-            part = c.mapInArrow(_score_block(c.sparkSession.sparkContext.broadcast((qids, qm)), k), f"qid {qtype}, id {itype}, score double")
-            scored = part if i == 0 else scored.union(part)
-        if scored is None:
-            scored = c.sparkSession.createDataFrame([], f"qid {qtype}, id {itype}, score double")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return blocks.topk(c, q, k, blocks.dense, 6, float("-inf"))
 
 
 def edge_cosines(edges: DataFrame, vectors: DataFrame, src: str, dst: str) -> tuple[DataFrame, DataFrame]:

@@ -42,20 +42,21 @@ def ask(questions: DataFrame, texts: DataFrame, edges: DataFrame, image_nodes: D
 
     first = evidence(_hits(u, texts, vecs, allow, mode))
     judged = u.join(v.select("qid", "found", "match_quality", "fallback_triggered"), "qid")
-    lock = gating.definition_lock(first)
+    lock = cut(gating.definition_lock(judged, first), "lock")
+    shut = lock.where("locked").select("qid")
     no = cut(gating.abstention(judged, first), "abstention")
-    again = u.join(no.where("abstained"), "qid", "left_semi")
+    again = u.join(no.where("abstained"), "qid", "left_semi").join(shut, "qid", "left_anti")
     variants = understanding.expansions(again)
-    key = F.concat_ws("-", "qid", "variant")
+    key = F.concat_ws(":", "qid", "variant")
     found = vectors.topk(vecs, vectors.embed(variants.where("variant <= 5").select(key.alias("qid"), "query"), "query").select("qid", "embedding"), 20)
-    found = found.select(F.split("qid", "-")[0].cast("long").alias("qid"), F.split("qid", "-")[1].cast("int").alias("variant"), "id", "rank").join(texts.select("id", "page"), "id")
+    found = found.select(F.split("qid", ":")[0].cast("long").alias("qid"), F.split("qid", ":")[1].cast("int").alias("variant"), "id", "rank").join(texts.select("id", "page"), "id")
     second_hits = gating.pass2(variants.select("qid", "variant"), found, v.select("qid", F.explode("pages").alias("page")))
     w = Window.partitionBy("qid").orderBy("variant", "rank")
     second = evidence(second_hits.select("qid", "id", F.row_number().over(w).alias("rank")))
     gates = gating.final_gates(again, second)
     used = gates.where("passed").select("qid")
     all_ = cut(first.join(no.where("abstained"), "qid", "left_anti").union(second.join(used, "qid", "left_semi").select(*first.columns)), "used")
-    usable = all_.where("matches").join(lock.where("locked").select("qid"), "qid", "left_anti")
+    usable = all_.where("matches").join(shut, "qid", "left_anti")
     place = cut(answering.flatten(answering.bundles(usable)), "places")
     ctx = place.join(usable.drop("rank"), ["qid", "id"])
     ans = answering.confidence(u.select("qid", "intent").join(answering.extractive(ctx), "qid"), ctx)
@@ -66,9 +67,9 @@ def ask(questions: DataFrame, texts: DataFrame, edges: DataFrame, image_nodes: D
     pic_list = pics.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("img_id").alias("id"), "page", images.url(F.col("path")).alias("url")))).alias("i"))
     tried = variants.groupBy("qid").agg(F.array_sort(F.collect_list("query")).alias("queries")).join(second.groupBy("qid").agg(F.count("*").alias("candidates")), "qid", "left").join(gates, "qid", "left")
     metric_cols = [c for c in m.columns if c != "qid"]
-    out = u.join(v, "qid").join(no, "qid").join(lock, "qid", "left").join(ans, "qid", "left").join(per, "qid", "left").join(ctx_list, "qid", "left").join(pic_list, "qid", "left").join(tried, "qid", "left").join(m.select("qid", F.struct(*metric_cols).alias("metrics")), "qid", "left")
+    out = u.join(v, "qid").join(no, "qid").join(lock.select("qid", "share", "locked", F.col("reason").alias("lock_reason")), "qid", "left").join(ans, "qid", "left").join(per, "qid", "left").join(ctx_list, "qid", "left").join(pic_list, "qid", "left").join(tried, "qid", "left").join(m.select("qid", F.struct(*metric_cols).alias("metrics")), "qid", "left")
     none = F.col("answer").isNull()
-    reason = F.when(none & F.coalesce("locked", F.lit(False)), "Definition evidence does not cover the concepts.").when(none & (F.col("reason") != ""), F.col("reason")).when(none, "No evidence left after the gates.")
+    reason = F.when(none & F.coalesce("locked", F.lit(False)), F.col("lock_reason")).when(none & (F.col("reason") != ""), F.col("reason")).when(none, "No evidence left after the gates.")
     return out.select(
         "qid", "question", F.coalesce("answer", F.lit(L.NOT_FOUND)).alias("answer"), none.alias("abstained"), reason.alias("reason"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "intent", F.slice("core_concepts", 1, 5).alias("core_concepts"),
         F.struct(F.col("found").alias("exists"), "matched_concepts", F.size("text_ids").cast("long").alias("validated_chunks"), "pages", "roles", "match_quality", "fallback_triggered").alias("graph_validation"),

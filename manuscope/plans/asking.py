@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import answering, gating, lexical, understanding
-from ..runtime import read
+from ..runtime import cut, read
 from . import ask as chain
 from .building import edge_table
 from .registry import query
-from .tables import SQL_NODES, SQL_QUESTIONS, SQL_WORDS, asked, longs, nodes, questions
+from .tables import SQL_EVERY, SQL_NODES, SQL_QUESTIONS, SQL_WORDS, every_question, longs, nodes, questions
 
 
 def _quote(s: str) -> str:
@@ -28,7 +28,6 @@ def _re2(pattern: str) -> str:
     return _quote(pattern)
 
 
-_ALL = f"{SQL_QUESTIONS}, logged AS (SELECT answer_id AS qid, question FROM answer WHERE question IS NOT NULL)"
 _INTENT = (
     "CASE "
     + " ".join(f"WHEN regexp_matches(q, {_re2(p)}) THEN '{k}'" for k, p in L.INTENT_PATTERNS)
@@ -47,13 +46,11 @@ def _sql_phrase() -> str:
     return "CASE " + " ".join(out) + " ELSE q END"
 
 
-@query(f"WITH {_ALL}, a AS (SELECT 'q' || qid AS key, trim(lower(question)) AS q FROM questions UNION ALL SELECT 'a' || qid, trim(lower(question)) FROM logged) SELECT key, {_INTENT} AS intent, {_sql_phrase()} AS concept_phrase FROM a")
+@query(f"WITH {SQL_EVERY}, a AS (SELECT qid, trim(lower(question)) AS q FROM questions) SELECT qid, {_INTENT} AS intent, {_sql_phrase()} AS concept_phrase FROM a")
 def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intents of the sample questions and of all logged ones."""
-    a = read(spark, sf_dir, "answer").where("question is not null").select(F.concat(F.lit("a"), F.col("answer_id").cast("string")).alias("key"), "question")
-    both = questions(spark).select(F.concat(F.lit("q"), F.col("qid").cast("string")).alias("key"), "question").union(a)
     name, phrase = understanding.intent(F.col("question"))
-    return both.select("key", name.alias("intent"), phrase.alias("concept_phrase"))
+    return every_question(spark, sf_dir).select("qid", name.alias("intent"), phrase.alias("concept_phrase"))
 
 
 _STOP = "[" + ", ".join(map(_quote, L.INTENT_STOPWORDS)) + "]"
@@ -64,9 +61,10 @@ cc AS (SELECT qid, question, q, intent, concept_phrase, (flatten(list_transform(
   || list_filter(t, lambda x: length(x) > 3 OR list_contains({_SHORT}, x)))[:10] AS core_concepts, list_filter([{', '.join(map(_quote, L.ENTITIES))}], lambda e: contains(q, e)) AS entities FROM tk)"""
 
 
-@query(f"WITH {SQL_QUESTIONS}, {_CONCEPTS} SELECT qid, intent, concept_phrase, array_to_string(core_concepts, '; ') AS core_concepts, array_to_string(entities, '; ') AS entities FROM cc")
+@query(f"WITH {SQL_EVERY}, {_CONCEPTS} SELECT qid, intent, concept_phrase, array_to_string(core_concepts, '; ') AS core_concepts, array_to_string(entities, '; ') AS entities FROM cc")
 def core_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = understanding.understand(questions(spark))
+    """Intent, phrase, concepts and entities of the sample questions and of all logged ones."""
+    u = understanding.understand(every_question(spark, sf_dir))
     return u.select("qid", "intent", "concept_phrase", F.array_join("core_concepts", "; ").alias("core_concepts"), F.array_join("entities", "; ").alias("entities"))
 
 
@@ -83,13 +81,14 @@ _ALIASES = ", ".join(f"({_quote(k)}, [{', '.join(map(_quote, v))}])" for k, v in
 
 
 @query(
-    f"""WITH {SQL_QUESTIONS}, {_CONCEPTS}, al(key, aliases) AS (VALUES {_ALIASES}), c AS (SELECT qid, lower(question) AS q, unnest(core_concepts) AS concept FROM cc),
+    f"""WITH {SQL_EVERY}, {_CONCEPTS}, al(key, aliases) AS (VALUES {_ALIASES}), c AS (SELECT qid, lower(question) AS q, unnest(core_concepts) AS concept FROM cc),
 v AS (SELECT DISTINCT qid, q, left(q, strpos(q, concept) - 1) || alias || substring(q, strpos(q, concept) + length(concept)) AS query FROM (SELECT qid, q, concept, unnest(aliases) AS alias FROM c JOIN al ON contains(concept, key) OR len(list_filter(aliases, lambda a: contains(concept, a))) > 0 WHERE contains(q, concept))),
 x AS (SELECT qid, lower(question) AS query, 0 AS later FROM questions UNION ALL SELECT qid, query, 1 FROM v WHERE query <> q)
 SELECT qid, query, row_number() OVER (PARTITION BY qid ORDER BY later, query) AS variant FROM x QUALIFY variant <= 10"""
 )
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(understanding.expansions(understanding.understand(questions(spark))))
+    """Variants of the sample questions and of all logged ones."""
+    return longs(understanding.expansions(understanding.understand(every_question(spark, sf_dir))))
 
 
 _TERMS = ["bsl-2", "bsl2", "containment level 2", "biosafety level 2", "bsl iii", "biosafety level", "biosafety level 2 laboratory", "level 2", "level", "autoclave", " BSL ", "the"]
@@ -122,21 +121,40 @@ def content_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.content_role(F.col("text")).alias("role"))
 
 
-@query(None)
-def concept_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each question's concepts held against the text nodes, in three tiers; lists joined, as they are long."""
-    v = understanding.validate(understanding.understand(questions(spark)), nodes(spark, sf_dir).select("id", "page", "text"))
-    return v.withColumns({c: F.array_join(F.col(c).cast("array<string>"), " ") for c in ("matched_concepts", "text_ids", "pages", "roles")})
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question with what its concepts found among the text nodes."""
+    u = cut(understanding.understand(questions(spark, sf_dir)), "understood")
+    return u.join(understanding.validate(u, nodes(spark, sf_dir).select("id", "page", "text")), "qid")
+
 
+def _sql_grams(n: int) -> str:
+    return f"list_transform(range(1, greatest(len(t) - {n - 2}, 1)), lambda i: " + " || ' ' || ".join(f"t[i + {k}]" if k else "t[i]" for k in range(n)) + ")"
 
-def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample questions, numbered below 20, and the stated queries, whose numbers are divisible by 20."""
-    return questions(spark).union(asked(spark, sf_dir).select("qid", F.col("text").alias("question")))
+
+_CANONICAL = f"CASE WHEN t IN ({', '.join(map(_quote, L.CONCEPT_STOPWORDS))}) THEN NULL WHEN family AND num IS NOT NULL THEN 'biosafety level ' || num WHEN family THEN 'biosafety level' ELSE t END"
+_VAL = rf"""terms AS (SELECT DISTINCT qid, trim(lower(term)) AS t FROM (SELECT qid, unnest(core_concepts || entities) AS term FROM cc)), cn AS (SELECT qid, t, {_FAMILY} AS family, {_NUMBER} AS num FROM terms), cx AS (SELECT *, {_CANONICAL} AS canonical FROM cn),
+ax AS (SELECT qid, canonical, canonical AS p, 1 AS tier FROM cx WHERE canonical IS NOT NULL UNION ALL SELECT qid, canonical, unnest(CASE WHEN family AND num IS NOT NULL THEN ['biosafety level ' || num, 'bsl ' || num, 'bsl' || num, 'containment level ' || num, 'level ' || num] WHEN family THEN ['bsl', 'containment level'] ELSE []::VARCHAR[] END), 2 FROM cx WHERE canonical IS NOT NULL),
+ph AS (SELECT * FROM (SELECT DISTINCT qid, canonical, p, tier FROM ax) QUALIFY row_number() OVER (PARTITION BY qid, tier ORDER BY len(string_split(p, ' ')) DESC, p) <= 30), pz AS (SELECT * FROM ph UNION ALL SELECT qid, 'biosafety', 'biosafety', 3 FROM cc WHERE len(core_concepts || entities) > 0),
+tg AS (SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s-]+', ' ' || chr(1) || ' ', 'g'), '[\s-]+'), lambda x: x <> '') AS t FROM nodes), gr AS (SELECT DISTINCT id, p FROM (SELECT id, unnest(t || {_sql_grams(2)} || {_sql_grams(3)}) AS p FROM tg) WHERE p IN (SELECT p FROM pz)),
+hit AS (SELECT qid, tier, canonical, id FROM gr JOIN pz USING (p)), best AS (SELECT qid, min(tier) AS tier FROM hit GROUP BY qid), ids AS (SELECT * FROM (SELECT DISTINCT qid, tier, id FROM hit JOIN best USING (qid, tier)) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY id) <= 200),
+val AS (SELECT qid, tier, list_sort(list_distinct(list(canonical))) AS matched, list_sort(list_distinct(list(id))) AS text_ids, list_sort(list_distinct(list(page) FILTER (page IS NOT NULL))) AS pages, list_sort(list_distinct(list(role))) AS roles FROM ids JOIN hit USING (qid, tier, id) JOIN (SELECT id, page, {_sql_role('text')} AS role FROM nodes) USING (id) GROUP BY ALL),
+judged AS (SELECT cc.*, tier IS NOT NULL AS found, CASE tier WHEN 1 THEN 'phrase' WHEN 2 THEN 'alias' WHEN 3 THEN 'section' ELSE 'none' END AS match_quality, coalesce(tier > 1, false) AS fallback_triggered, matched, text_ids, pages, roles FROM cc LEFT JOIN val USING (qid))"""
+
+
+@query(
+    f"""WITH {SQL_QUESTIONS}, {SQL_NODES}, {_CONCEPTS}, {_VAL} SELECT qid, found, coalesce(array_to_string(matched, ' '), '') AS matched_concepts, coalesce(array_to_string(text_ids, ' '), '') AS text_ids, coalesce(array_to_string(pages, ' '), '') AS pages,
+coalesce(array_to_string(roles, ' '), '') AS roles, match_quality, fallback_triggered FROM judged"""
+)
+def concept_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question's concepts held against the text nodes, in three tiers; lists joined, as they are long."""
+    lists = ("matched_concepts", "text_ids", "pages", "roles")
+    v = _validated(spark, sf_dir).withColumns({c: F.array_join(F.col(c).cast("array<string>"), " ") for c in lists})
+    return v.select("qid", "found", *lists, "match_quality", "fallback_triggered")
 
 
-def _evidence(spark: SparkSession, sf_dir: str, q: DataFrame | None = None) -> DataFrame:
-    """The 12 text nodes that cover each question best; of the sample questions, unless others are given."""
-    u, n = understanding.understand(questions(spark) if q is None else q), nodes(spark, sf_dir).select("id", "page", "text")
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 12 text nodes that cover each question best."""
+    u, n = cut(understanding.understand(questions(spark, sf_dir)), "understood"), nodes(spark, sf_dir).select("id", "page", "text")
     hits = lexical.coverage_topk(n, u.select("qid", F.col("question").alias("text")), 12).select("qid", "id", "rank")
     return hits.join(n, "id").join(u, "qid").select("qid", "question", "intent", "core_concepts", "entities", "id", "page", "text", "rank")
 
@@ -181,8 +199,29 @@ def rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(gating.rule_filter(_evidence(spark, sf_dir)).select("qid", "id", "rank"))
 
 
-@query(None)
+def _sql_expanded(t: str) -> str:
+    pairs = [(k, sorted({p for v in vs for p in v.replace("-", " ").split() if len(p) > 2})) for k, vs in L.SYNONYMS.items()]
+    more = " ".join(f"WHEN {_quote(k)} THEN [{', '.join(map(_quote, v))}]" for k, v in pairs)
+    w = f"list_filter(regexp_extract_all(lower({t}), '[a-z0-9]+'), lambda x: length(x) > 2)"
+    return f"list_distinct({w} || flatten(list_transform({w}, lambda x: CASE x {more} ELSE []::VARCHAR[] END)))"
+
+
+def _sql_score(concept: str, target: str) -> str:
+    return f"(CASE WHEN len({_sql_expanded(concept)}) = 0 THEN 0.0 ELSE len(list_intersect({_sql_expanded(concept)}, {target})) / len({_sql_expanded(concept)}) END)"
+
+
+_AFTER = "CASE " + " ".join(f"WHEN contains(q, {_quote(p)}) THEN substring(q0, strpos(q0, {_quote(p)}) + {len(p)})" for p in L.QUESTION_PREFIXES) + " ELSE '' END"
+_SUBJECT = f"array_to_string(list_filter(regexp_extract_all({_AFTER}, '[a-z0-9]+'), lambda x: length(x) > 2 AND NOT list_contains([{', '.join(map(_quote, L.FILTER_STOPWORDS))}], x)), ' ')"
+
+
+@query(
+    f"""WITH {_EV}, s AS (SELECT qid, id, rank, core_concepts, entities, {_sql_expanded('text')} AS tx, {_sql_expanded(_SUBJECT)} AS c FROM (SELECT *, lower(question) AS q0 FROM ev)),
+k AS (SELECT *, len(c) = 0 OR len(list_intersect(tx, c)) >= greatest(1, len(c) // 2) AS keep FROM s), f AS (SELECT * FROM k QUALIFY keep OR NOT bool_or(keep) OVER (PARTITION BY qid)),
+h AS (SELECT qid, id, rank, len(core_concepts) = 0 OR len(list_filter(core_concepts || entities, lambda z: {_sql_score('z', 'tx')} >= 0.5)) > 0 AS keep FROM f)
+SELECT qid, id, rank FROM h QUALIFY keep OR NOT bool_or(keep) OVER (PARTITION BY qid)"""
+)
 def concept_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The concept filter without a graph, and the constraint on core concepts."""
     return longs(gating.hard_concepts(gating.concept_filter(_evidence(spark, sf_dir))).select("qid", "id", "rank"))
 
 
@@ -195,23 +234,14 @@ def semantic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(gating.semantic_filter(ev, graph.neighbors(edge_table(spark, sf_dir), ev.select("id"), 30)).select("qid", "id", "rank"))
 
 
-_FOUND = "CASE WHEN qid % 5 = 0 THEN false ELSE true END"
-
-
-def _judged(spark: SparkSession) -> DataFrame:
-    """The questions with a validation made up from their number, so that every rule has a case."""
-    u = understanding.understand(questions(spark))
-    return u.withColumn("found", F.col("qid") % 5 != 0).withColumn("match_quality", F.when(F.col("qid") % 4 == 0, "weak").otherwise("phrase"))
-
-
 @query(
-    f"""WITH {_FIT}, a AS (SELECT qid, count(*) AS n, avg(len(regexp_extract_all(text, '\\S+'))) AS words, count(*) FILTER (matches) AS fit FROM fit GROUP BY qid),
-r AS (SELECT qid, CASE WHEN NOT {_FOUND} THEN 'Concepts not found in knowledge base. Cannot answer without source validation.' WHEN qid % 4 = 0 AND intent IN ('definition', 'procedure', 'comparison') THEN 'Only partial concept match. Cannot reliably provide ' || intent || '. Abstaining.'
-  WHEN coalesce(n, 0) = 0 THEN 'No content found after retrieval and filtering.' WHEN words < 50 THEN 'Content too brief to answer reliably.' WHEN fit = 0 THEN 'No ' || intent || ' evidence found. Cannot answer without proper source material.' END AS reason FROM cc LEFT JOIN a USING (qid))
+    f"""WITH {_FIT}, {_VAL}, a AS (SELECT qid, count(*) AS n, avg(len(regexp_extract_all(text, '\\S+'))) AS words, count(*) FILTER (matches) AS fit FROM fit GROUP BY qid),
+r AS (SELECT qid, CASE WHEN NOT found THEN 'Concepts not found in knowledge base. Cannot answer without source validation.' WHEN match_quality = 'weak' AND intent IN ('definition', 'procedure', 'comparison') THEN 'Only partial concept match. Cannot reliably provide ' || intent || '. Abstaining.'
+  WHEN coalesce(n, 0) = 0 THEN 'No content found after retrieval and filtering.' WHEN words < 50 THEN 'Content too brief to answer reliably.' WHEN fit = 0 THEN 'No ' || intent || ' evidence found. Cannot answer without proper source material.' END AS reason FROM judged LEFT JOIN a USING (qid))
 SELECT qid, reason IS NOT NULL AS abstained, coalesce(reason, '') AS reason FROM r"""
 )
 def abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gating.abstention(_judged(spark), gating.with_evidence(_evidence(spark, sf_dir)))
+    return gating.abstention(_validated(spark, sf_dir), gating.with_evidence(_evidence(spark, sf_dir)))
 
 
 @query(
@@ -222,23 +252,30 @@ f AS (SELECT qid, CASE WHEN n IS NULL THEN 'no_chunks_after_retrieval' WHEN t IS
 SELECT qid, failure IS NULL AS passed, coalesce(failure, '') AS failure FROM f"""
 )
 def final_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gating.final_gates(_judged(spark), gating.with_evidence(_evidence(spark, sf_dir)))
+    return gating.final_gates(understanding.understand(questions(spark, sf_dir)), gating.with_evidence(_evidence(spark, sf_dir)))
 
 
-@query(None)
+_WIDE = "list_filter(list_filter(core_concepts, lambda c, i: list_position(core_concepts, c) = i), lambda c: contains(c, ' ') OR length(c) > 5)[:5]"
+
+
+@query(
+    f"""WITH {_FIT}, {_VAL}, d AS (SELECT qid, text FROM fit WHERE matches AND intent = 'definition' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank, id) <= 10), tok AS (SELECT qid, {_sql_expanded('t')} AS tk FROM (SELECT qid, string_agg(text, chr(10)) AS t FROM d GROUP BY qid)),
+x AS (SELECT qid, tk, CASE WHEN fallback_triggered THEN 0.4 ELSE 0.6 END AS bound, {_WIDE} AS wide FROM judged LEFT JOIN tok USING (qid) WHERE intent = 'definition'),
+y AS (SELECT qid, tk, bound, CAST(CASE WHEN tk IS NULL THEN 0 ELSE round(len(list_filter(wide, lambda z: {_sql_score('z', 'tk')} >= 0.6)) / greatest(1, len(wide)), 6) END AS DOUBLE) AS share FROM x)
+SELECT qid, share, tk IS NULL OR share < bound AS locked, CASE WHEN tk IS NULL THEN 'No definition evidence found in retrieved documents.' WHEN share < bound THEN 'Definition evidence does not cover the concepts.' ELSE '' END AS reason FROM y"""
+)
 def definition_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gating.definition_lock(gating.with_evidence(_evidence(spark, sf_dir)))
+    return gating.definition_lock(_validated(spark, sf_dir), gating.with_evidence(_evidence(spark, sf_dir)))
 
 
 @query(None)
 def pass2_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of the expanded questions on pages below 4."""
-    u, n = understanding.understand(questions(spark)), nodes(spark, sf_dir).select("id", "page", "text")
+    """Texts of the expanded questions on the pages that validation found."""
+    u, n = _validated(spark, sf_dir), nodes(spark, sf_dir).select("id", "page", "text")
     v = understanding.expansions(u)
-    key = F.concat_ws("-", "qid", "variant")
-    found = lexical.coverage_topk(n, v.select(key.alias("qid"), F.col("query").alias("text")), 20).select(F.split("qid", "-")[0].cast("long").alias("qid"), F.split("qid", "-")[1].cast("int").alias("variant"), "id", "rank").join(n.select("id", "page"), "id")
-    pages = u.select("qid", F.explode(F.sequence(F.lit(1), F.lit(3)).cast("array<bigint>")).alias("page"))
-    return longs(gating.pass2(v.select("qid", "variant"), found, pages))
+    key = F.concat_ws(":", "qid", "variant")
+    found = lexical.coverage_topk(n, v.where("variant <= 5").select(key.alias("qid"), F.col("query").alias("text")), 20).select(F.split("qid", ":")[0].cast("long").alias("qid"), F.split("qid", ":")[1].cast("int").alias("variant"), "id", "rank").join(n.select("id", "page"), "id")
+    return longs(gating.pass2(v.select("qid", "variant"), found, u.select("qid", F.explode("pages").alias("page"))))
 
 
 _IND = "[" + ", ".join(f"CASE WHEN regexp_matches(lower(text), {_re2(p)}) THEN '{k}' END" for k, p in L.INDICATORS.items()) + "]"
@@ -252,14 +289,14 @@ def definition_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def bundle_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bundles of the sample questions and the stated queries."""
-    return longs(answering.bundle_scores(answering.bundles(_evidence(spark, sf_dir, _both(spark, sf_dir)))))
+    """Scores of the bundles of each question's evidence."""
+    return longs(answering.bundle_scores(answering.bundles(_evidence(spark, sf_dir))))
 
 
 @query(None)
 def bundle_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same bundles as places of texts."""
-    return longs(answering.flatten(answering.bundles(_evidence(spark, sf_dir, _both(spark, sf_dir)))))
+    """The bundles as places of texts."""
+    return longs(answering.flatten(answering.bundles(_evidence(spark, sf_dir))))
 
 
 _STORE = "[" + ", ".join(map(_quote, L.STORAGE_WORDS)) + "]"
@@ -276,7 +313,7 @@ def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ctx = _evidence(spark, sf_dir).withColumnRenamed("rank", "place")
-    u = understanding.understand(questions(spark)).select("qid", "intent", "core_concepts")
+    u = understanding.understand(questions(spark, sf_dir)).select("qid", "intent", "core_concepts")
     return u.join(answering.extractive(ctx), "qid"), ctx
 
 
@@ -316,16 +353,18 @@ def markdown_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answering.markdown(lexical.best_sentences(ev), hits, read(spark, sf_dir, "nodes_image").select(F.col("page").cast("long").alias("page"), "path"))
 
 
-@query(None)
+@query(
+    f"""WITH {_EV} SELECT qid, string_agg('[Text ' || rank || '] (ID: ' || id || ', Page: ' || coalesce(CAST(page AS VARCHAR), '?') || '):' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || any_value(question) AS prompt FROM ev WHERE rank <= 5 GROUP BY qid"""
+)
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of the sample questions and the stated queries."""
-    return answering.prompt(_evidence(spark, sf_dir, _both(spark, sf_dir)).where("rank <= 5").withColumnRenamed("rank", "place"))
+    """A prompt for each question, of its five best texts."""
+    return answering.prompt(_evidence(spark, sf_dir).where("rank <= 5").withColumnRenamed("rank", "place"))
 
 
 @query(None)
 def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain for the sample questions; nested columns as JSON."""
+    """The whole chain for the sample questions and the stated queries; nested columns as JSON."""
     i = read(spark, sf_dir, "nodes_image").where("img_id is not null").groupBy("img_id").agg(F.max("path").alias("path"), F.max("page").alias("page"))
     e = read(spark, sf_dir, "rel_text_image").where("chunk_id is not null and img_id is not null").select("chunk_id", "img_id", "score")
-    out = chain.ask(questions(spark), nodes(spark, sf_dir).select("id", "page", "text"), edge_table(spark, sf_dir), i, e)
+    out = chain.ask(questions(spark, sf_dir), nodes(spark, sf_dir).select("id", "page", "text"), edge_table(spark, sf_dir), i, e)
     return out.withColumns({c: F.to_json(c) for c, t in out.dtypes if t.startswith(("struct", "array"))})

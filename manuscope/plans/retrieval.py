@@ -182,11 +182,11 @@ def chunking_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = read(spark, sf_dir, "answer").where("answer_id % 20 = 0").select(F.col("answer_id").alias("qid"), F.posexplode("text_ids").alias("pos", "id"))
+    a = read(spark, sf_dir, "answer").select(F.col("answer_id").alias("qid"), F.posexplode("text_ids").alias("pos", "id"))
     return a.where("id is not null").groupBy("qid", "id").agg((F.min("pos") + 1).cast("long").alias("rank"))
 
 
-SQL_HITS = "hits AS (SELECT qid, id, min(rank) AS rank FROM (SELECT answer_id AS qid, unnest(text_ids) AS id, generate_subscripts(text_ids, 1) AS rank FROM answer WHERE answer_id % 20 = 0) WHERE id IS NOT NULL GROUP BY ALL)"
+SQL_HITS = "hits AS (SELECT qid, id, min(rank) AS rank FROM (SELECT answer_id AS qid, unnest(text_ids) AS id, generate_subscripts(text_ids, 1) AS rank FROM answer) WHERE id IS NOT NULL GROUP BY ALL)"
 
 
 @query(f"WITH {SQL_HITS}, {SQL_NODES}, t AS (SELECT qid, id, rank, CAST(sum(length(text)) OVER (PARTITION BY qid ORDER BY rank, id) AS BIGINT) AS upto FROM hits JOIN nodes USING (id)) SELECT * FROM t WHERE upto <= 3500")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import read
+from ..runtime import partitions, read, spread
 
 QUESTIONS = [
     "What is biosafety level 2?",
@@ -24,7 +24,10 @@ QUESTIONS = [
     "What does the protective equipment cover?",
 ]
 _VALUES = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS, 1))
-SQL_QUESTIONS = f"questions AS (SELECT CAST(qid AS BIGINT) AS qid, question FROM (VALUES {_VALUES}) v(qid, question))"
+#: The sample questions with negative numbers, and the logged ones: all, or the stated queries whose number is divisible by 20.
+_SAMPLES = f"SELECT CAST(-qid AS BIGINT) AS qid, question FROM (VALUES {_VALUES}) v(qid, question)"
+SQL_EVERY = f"questions AS ({_SAMPLES} UNION ALL SELECT answer_id, question FROM answer WHERE question IS NOT NULL)"
+SQL_QUESTIONS = f"questions AS ({_SAMPLES} UNION ALL SELECT answer_id, question FROM answer WHERE question IS NOT NULL AND answer_id % 20 = 0)"
 SQL_DOCS = "docs AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL)"
 SQL_ASKED = "asked AS (SELECT answer_id AS qid, question AS text FROM answer WHERE answer_id % 20 = 0 AND question IS NOT NULL)"
 SQL_NODES = "nodes AS (SELECT chunk_id AS id, max(manual) AS manual, CAST(max(page) AS BIGINT) AS page, max(text) AS text FROM nodes_text WHERE text IS NOT NULL AND chunk_id IS NOT NULL GROUP BY chunk_id)"
@@ -37,12 +40,22 @@ def sql_grams(table: str) -> str:
     return f"(SELECT id, w || list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM (SELECT id, regexp_extract_all(lower(text), '{TERM}') AS w FROM {table}))"
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, q) for i, q in enumerate(QUESTIONS, 1)], "qid long, question string").coalesce(1)
+def samples(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(-i, q) for i, q in enumerate(QUESTIONS, 1)], "qid long, question string").coalesce(1)
+
+
+def every_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample questions and all logged ones."""
+    return samples(spark).union(read(spark, sf_dir, "answer").where("question is not null").select(F.col("answer_id").alias("qid"), "question"))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample questions and the stated queries, for what searches the nodes."""
+    return samples(spark).union(asked(spark, sf_dir).select("qid", F.col("text").alias("question")))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    return spread(read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text"))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +65,8 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per text node with a text."""
-    n = read(spark, sf_dir, "nodes_text").where("text is not null and chunk_id is not null")
+    n = read(spark, sf_dir, "nodes_text").where("text is not null and chunk_id is not null").select("chunk_id", "manual", "page", "text")
+    n = n.repartition(partitions(spark), "chunk_id")  # the grouping's own shuffle, which is not to shrink to one task
     return n.groupBy(F.col("chunk_id").alias("id")).agg(F.max("manual").alias("manual"), F.max("page").cast("long").alias("page"), F.max("text").alias("text"))
 
 

@@ -21,13 +21,15 @@ _made: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` if the session names one.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is made and set.
+    Only where the setting is absent and all tasks run in one process (tests, a laptop) a temporary folder is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="manuscope-")
         _made.append(named)
         spark.sparkContext.setCheckpointDir(named)
@@ -43,8 +45,8 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _made.append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,11 +64,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan of few small files, dealt to all cores; one with enough tasks as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes what :func:`cut` wrote in this session, wherever it lies; call it once results are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        at = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        at.getFileSystem(conf).delete(at, True)
+
+
 def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            return forget(spark)
+        except Exception:  # the JVM may be gone by now
+            pass
     for path in _made:
         local = urlparse(path)
         if local.scheme in ("", "file") and os.path.isdir(local.path):

@@ -1,5 +1,7 @@
 """The core's operators on hand-checkable cases and odd inputs."""
 
+import os
+import random
 import re
 
 import pytest
@@ -149,6 +151,70 @@ def test_gates_fall_back_and_abstain(spark):
     assert {r.qid: r.failure for r in gating.final_gates(q, gating.with_evidence(ev)).collect()} == {1: "no_intent_aligned_evidence", 3: "no_chunks_after_retrieval", 4: "no_chunks_after_retrieval"}
 
 
+def test_definition_lock(spark):
+    row = lambda q, i, text, rank: (q, "What is it?", "definition", ["safety cabinet", "airflow"], [], i, 1, text, rank)
+    ev = [row(1, "a", "A safety hood is a box.", 1), row(1, "b", "The airflow is a stream of the cabinet.", 2), row(2, "c", "Nothing at all here.", 1), row(4, "e", "The airflow is a stream.", 1), row(5, "e", "The airflow is a stream.", 1)]
+    ev += [row(6, f"n{i}", "It is a box.", i) for i in range(1, 11)] + [row(6, "z", "The safety cabinet and the airflow are a pair.", 11)]
+    ev = gating.with_evidence(spark.createDataFrame(ev, "qid long, question string, intent string, core_concepts array<string>, entities array<string>, id string, page int, text string, rank int"))
+    both = ["safety cabinet", "airflow"]
+    q = [(1, "definition", both, False), (2, "definition", both, False), (3, "definition", both, True), (4, "definition", both, True), (5, "definition", both, False), (6, "definition", both, False), (7, "yesno", both, False), (8, "definition", ["box"], False)]
+    out = {r.qid: (r.share, r.locked) for r in gating.definition_lock(spark.createDataFrame(q, "qid long, intent string, core_concepts array<string>, fallback_triggered boolean"), ev).collect()}
+    # words of all texts count together; without evidence or longer concepts a question is locked; a fallback lowers the bound
+    assert out == {1: (1.0, False), 2: (0.0, True), 3: (0.0, True), 4: (0.5, False), 5: (0.5, True), 6: (0.0, True), 8: (0.0, True)}
+
+
+def test_concept_filter_neighbours(spark):
+    row = lambda i, text: (1, "What is a viewport text?", "definition", [], [], i, 1, text, 1)
+    ev = spark.createDataFrame([row("a", "viewport"), row("b", "none of it"), row("c", "nothing")], "qid long, question string, intent string, core_concepts array<string>, entities array<string>, id string, page int, text string, rank int")
+    near = spark.createDataFrame([("b", "T_viewport", "SIMILAR_TO", 0.5), ("c", "I_1", "HAS_IMAGE", 0.9)], "seed string, dst string, rel_type string, score double")
+    assert [r.id for r in gating.concept_filter(ev).collect()] == ["a"]
+    assert sorted(r.id for r in gating.concept_filter(ev, near).collect()) == ["a", "b"]
+
+
+def test_validation_by_phrases(spark):
+    q = understanding.understand(spark.createDataFrame([(1, "What is biosafety level 2?"), (2, "Where is the centrifuge?"), (3, "What is zzqy?"), (4, None)], "qid long, question string"))
+    rows = [(f"t{i:03d}", 1, "The Biosafety-Level  2 room.") for i in range(250)] + [("u", 2, "biosafety, level 2"), ("v", None, "Ultracentrifuge, centrifuge-rotor"), ("w", 4, None), ("x", 5, "ultracentrifuge only"), ("y", 6, "a note on Biosafety")]
+    out = {r.qid: r for r in understanding.validate(q, spark.createDataFrame(rows, "id string, page int, text string")).collect()}
+    assert out[1].match_quality == "phrase" and out[1].text_ids == [f"t{i:03d}" for i in range(200)] and "biosafety level 2" in out[1].matched_concepts
+    assert out[2].text_ids == ["v"] and not out[2].fallback_triggered and out[3].match_quality == "section" and out[3].fallback_triggered and not out[4].found
+    assert out[3].text_ids == [f"t{i:03d}" for i in range(200)]
+
+
+def test_blocks_meet_all_rows(spark, monkeypatch):
+    from manuscope.operators import blocks
+
+    for name, v in (("BLOCK", 7), ("PART", 11), ("STEP", 4)):
+        monkeypatch.setattr(blocks, name, v)
+    rnd = random.Random(3)
+    docs = [(i, " ".join(rnd.choice("oak elm ash fir yew box bay".split()) for _ in range(rnd.randint(0, 6)))) for i in range(60)] + [(60, None)]
+    asked = [(100 + i, " ".join(rnd.sample("oak elm ash fir yew box bay".split(), 3))) for i in range(20)] + [(130, ""), (131, None)]
+    got = {(r.qid, r.id, r.score, r["rank"]) for r in lexical.coverage_topk(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asked, "qid long, text string"), 4).collect()}
+    want = set()
+    for q, t in asked:
+        words = set((t or "").split())
+        s = sorted(((-len(words & set((x or "").split())), i) for i, x in docs))
+        want |= {(q, i, round(-n / len(words), 6), r) for r, (n, i) in enumerate(s[:4], 1) if n}
+    assert got == want and want
+    v = spark.createDataFrame([(f"v{i:02d}", [float(i % 5), 1.0]) for i in range(30)], "id string, embedding array<float>")
+    top = vectors.topk(v, spark.createDataFrame([(q, [1.0, float(q)]) for q in range(9)], "qid int, embedding array<float>"), 3)
+    assert all([r.id for r in sorted(top.where(F.col("qid") == q).collect(), key=lambda r: r["rank"])] == ["v04", "v09", "v14"] for q in range(9))
+    d = spark.createDataFrame([r for r in docs if r[1]], "id long, text string")
+    every = lexical.knn_edges(d, None, 3, 0.2)
+    assert every.where("src = dst").count() == 0 and every.where("src < 20").count() == lexical.knn_edges(d, d.where("id < 20"), 3, 0.2).count() > 0
+
+
+def test_temporary_folder_is_local_only(spark, monkeypatch, tmp_path):
+    from manuscope import runtime
+
+    kept = list(runtime._made)
+    monkeypatch.setattr(runtime, "_made", [])
+    df = runtime.cut(spark.range(5), "gone")
+    path = runtime._made[-1]
+    assert df.count() == 5 and os.path.isdir(path)
+    runtime.forget(spark)
+    assert not os.path.isdir(path) and runtime._made == [] and kept is not None
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "b", "SIMILAR_TO", None), ("a", "b", "SIMILAR_TO", 0.5), ("a", "c", "HAS_IMAGE", 0.9), ("a", "d", "OTHER", 1.0)], "src string, dst string, rel_type string, score double")
     assert sorted((r.dst, r.score) for r in graph.neighbors(e, spark.createDataFrame([("a",)], "id string")).collect()) == [("b", 0.5), ("c", 0.9)]
@@ -246,7 +312,8 @@ def test_plans_stay_in_the_engine(spark):
     import __spark_entry__ as entry
 
     q = entry.queries()
-    for name in ("tfidf_vocab", "chunk_baseline", "unwrap_paragraphs", "neighbors", "intent", "evidence_match", "page_match_edges", "header_footer_lines"):
+    for name in ("tfidf_vocab chunk_baseline unwrap_paragraphs neighbors intent core_concepts entities page_match_edges header_footer_lines content_role definition_indicators graph_fused_topk ranked_images "
+        "answer_bridges edge_weights context_pack ordered_fetch node_upsert edge_upsert minmax_scores concept_match squeeze_whitespace dehyphenate").split():
         plan = q[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"Python|Pandas|MapInArrow|CartesianProduct", plan), name
 
@@ -255,14 +322,15 @@ def test_logged_questions_are_read(spark):
     """Queries without SQL that search for evidence take the stated queries of the answer log too."""
     import __spark_entry__ as entry
     from manuscope.operators import lexical
-    from manuscope.plans.tables import asked, nodes, questions
+    from manuscope.plans.tables import every_question, nodes, questions
 
     d = "/root/testdata/sf0.001"
-    both = questions(spark).withColumnRenamed("question", "text").union(asked(spark, d))
+    both = questions(spark, d).withColumnRenamed("question", "text")
     want = {r.qid for r in lexical.coverage_topk(nodes(spark, d).select("id", "text"), both, 12).select("qid").distinct().collect()}
-    assert any(x >= 20 for x in want) and any(x < 20 for x in want)
+    assert any(x >= 20 for x in want) and any(x < 0 for x in want)
     for name in ("bundle_score", "bundle_flatten", "prompts"):
         assert {r.qid for r in entry.queries()[name](spark, d).select("qid").collect()} == want, name
+    assert entry.queries()["core_concepts"](spark, d).count() == every_question(spark, d).count() > 50
 
 
 def test_rest_does_not_import_llm():
@@ -286,7 +354,7 @@ def test_api_and_stream(spark, tmp_path):
 
     imgs = spark.read.parquet(f"{d}/nodes_image.parquet").where("img_id is not null").groupBy("img_id").agg(F.max("path").alias("path"), F.max("page").alias("page"))
     g = Graph(nodes(spark, d).select("id", "page", "text"), imgs, edge_table(spark, d), spark.read.parquet(f"{d}/answer.parquet"))
-    out = g.ask(questions(spark), mode="hybrid").collect()
+    out = g.ask(questions(spark, d), mode="hybrid").collect()
     assert len(out) == questions(spark).count() and all(r.reason for r in out if r.abstained) and any(not r.abstained for r in out)
     assert all(0 <= r.confidence <= 1 for r in out)
     rows = hybrid(g, questions(spark).limit(3).withColumnRenamed("question", "text")).collect()
