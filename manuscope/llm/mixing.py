@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import broadcast_if_small, cut
+
 #: Slices of a source's key range; only the slice in which the budget ends is ordered row by row.
 SLICES = 4096
 
@@ -36,7 +38,8 @@ def mix(items: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     x = items.where("tokens > 0 and doc_id is not null").select("doc_id", canonical("source").alias("source"), F.col("tokens").cast("long"), (-F.log(u) / w).alias("key"))
     # a monotone image of the key in [0, 1) that spreads it evenly over the slices
     x = x.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * SLICES), F.lit(SLICES - 1)).cast("int"))
-    x = x.join(F.broadcast(t.select("source")), "source")  # a row a source
+    t = cut(t, "targets")
+    x = x.join(broadcast_if_small(t.select("source")), "source")
     per_slice = x.groupBy("source", "slice").agg(F.sum("tokens").alias("slice_tokens"))  # at most SLICES rows a source
     upto = Window.partitionBy("source").orderBy("slice")
     all_of = Window.partitionBy("source")
@@ -50,8 +53,8 @@ def mix(items: DataFrame, targets: DataFrame, total: int | None = None, seed: in
         .withColumn("rest", F.when(F.col("epochs") >= F.col("max_repeats"), 0.0).otherwise(F.col("budget") - F.col("epochs") * F.col("available")))
     )
     cols = ["source", "slice", "before", "slice_tokens", "rest", "epochs"]
-    # rows: sources x SLICES at most
-    y = x.join(F.broadcast(plan.select(*cols)), ["source", "slice"])
+    # a key of both columns holds a slice of a source, so no key is hot without a broadcast
+    y = x.join(broadcast_if_small(cut(plan.select(*cols), "plan")), ["source", "slice"])
     ends_here = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("slice_tokens") > F.col("rest"))
     inside = F.col("before") + F.sum("tokens").over(Window.partitionBy("source", "slice").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     edge = y.where(ends_here).withColumn("reach", inside).withColumn("extra", (F.col("reach") - F.col("tokens") / 2.0 <= F.col("rest")).cast("int"))

@@ -154,6 +154,9 @@ def test_split_table(spark):
     assert {r.id for r in rows} == {"a", None} and a[0].start_token == 0 and a[-1].end_token == 2500
     assert all(x.end_token - y.start_token == 150 for x, y in zip(a, a[1:])) and all(r.text.split() == long.split()[r.start_token : r.end_token] for r in a)
     assert split_oversized(df.limit(0), 10, 2).count() == 0
+    two = " ".join(["z"] * 1800)
+    both = split_oversized(spark.createDataFrame([("a", long), ("a", two), ("v", "\v".join(["x"] * 2000)), ("w", " ".join("\v" for _ in range(1200)))], "id string, text string"), 1000, 150).collect()
+    assert {r.text.split(" ")[0] for r in both if r.id == "a"} == {"z"} and max(r.end_token for r in both if r.id == "a") == 1800 and {r.id for r in both} == {"a", "w"}
     with pytest.raises(ValueError):
         split_oversized(df, 5, 5)
 
