@@ -448,6 +448,27 @@ def test_scan_noise(spark):
     assert read_scans(df.limit(0), m).count() == 0
 
 
+def test_scan_vectors_decide(spark):
+    """A sound rare word that one glyph edit turns into a frequent one stays where that one doesn't fit."""
+    rnd = random.Random(2)
+    places = ["turn left at the {} of the long hall", "meet us by the {} of the main street", "the shop at the {} sells fresh bread"]
+    other = ["a late {} may still win the open race", "each late {} must sign the open list", "no late {} gets in after the open bell"]
+    texts = [rnd.choice(places).format("corner") for _ in range(150)] + [rnd.choice(other).format("runner") for _ in range(150)]
+    rows = [(0, f"g{i}", None, t, "k") for i, t in enumerate(texts)] + [(0, "sound", None, other[0].format("comer"), "k"), (0, "noise", None, places[0].format("comer"), "k"), (0, "alone", None, "comer", "k"), (0, "digit", None, "c0rner", "k")]
+    df = spark.createDataFrame(rows, "rec_table int, rec_id string, manual string, text string, kinds string")
+    out = {r.rec_id: r for r in read_scans(df, spark.createDataFrame([], "manual string, title string")).collect()}
+    assert out["noise"].kinds == ["misread"] and "corner" in out["noise"].text and out["digit"].text == "corner"
+    assert out["sound"].kinds == [] and out["alone"].kinds == []
+
+
+def test_long_furniture():
+    title = "Handbook of the Storage and the Handling of Fragile Instruments in Small Laboratories of Remote Districts and Islands"
+    assert furniture(f"  {title}  |  Chapter on the cleaning of tubes | 117", Titles([title]))[0][1:] == (True, True)
+    assert furniture("Guide to Bench Work.", Titles(["Guide to Bench Work"]))[0].header and not furniture("12.", Titles([]))[0].number
+    word = "x" * 80
+    assert furniture("- - - - - 12 - - - - - - - - - -", Titles([]))[0].number and word
+
+
 def test_scan_vocabulary_has_no_rank_cut(spark, monkeypatch):
     import manuscope.llm.scan_noise as m
 
