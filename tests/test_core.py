@@ -355,9 +355,9 @@ def test_api_and_stream(spark, tmp_path):
     imgs = spark.read.parquet(f"{d}/nodes_image.parquet").where("img_id is not null").groupBy("img_id").agg(F.max("path").alias("path"), F.max("page").alias("page"))
     g = Graph(nodes(spark, d).select("id", "page", "text"), imgs, edge_table(spark, d), spark.read.parquet(f"{d}/answer.parquet"))
     out = g.ask(questions(spark, d), mode="hybrid").collect()
-    assert len(out) == questions(spark).count() and all(r.reason for r in out if r.abstained) and any(not r.abstained for r in out)
+    assert len(out) == questions(spark, d).count() and all(r.reason for r in out if r.abstained) and any(not r.abstained for r in out)
     assert all(0 <= r.confidence <= 1 for r in out)
-    rows = hybrid(g, questions(spark).limit(3).withColumnRenamed("question", "text")).collect()
+    rows = hybrid(g, questions(spark, d).limit(3).withColumnRenamed("question", "text")).collect()
     assert rows and max(r.place for r in rows if r.kind == "text") <= 24
     assert g.recent_answers(3).count() == 3 and g.fetch_texts(g.texts.limit(2)).count() == 2
     src = tmp_path / "in"
