@@ -7,6 +7,7 @@ thing learned from the corpus is a lexicon of words by language, from all questi
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,13 @@ STOPWORDS = {
     "de": "der die das den dem des und ein eine einen einem einer ist sind im am zu auf mit für von nicht man darf muss soll kann wer wie warum wann wo wenn dass weil nach vor bei hinter unter neben damit bevor um gilt".split(),
     "es": "el los las una unos y que en para por con del al se es son no debe puede hay como cómo qué quién dónde cuándo si antes después sobre bajo junto porque cada hasta luego tras queda".split(),
 }
+#: Frequent words of further languages that the four above don't have, for answers only.
+FURTHER = {
+    "it": "gli della delle dello degli nel nella nelle dal dalla che è sono anche più questo questa essere quando deve ogni dopo prima senza viene con quello".split(),
+    "pt": "não uma são com mais dos das ao pelo pela também deve cada depois isso está num numa à às até são".split(),
+    "pl": "się nie jest oraz przez dla jak które który musi może po od przed powinien należy być każdy albo lub jeśli gdy".split(),
+    "nl": "het een niet zijn worden wordt voor met ook aan naar moet bij deze dit niet als kan uit daarna".split(),
+}
 #: Whole answers that say nothing.
 NOTHING = set("null none n/a na nil nan blank empty undefined void".split())
 LABELS = r"(?:answer|antwort|réponse|respuesta|response|reply|sources?|quellen?|fuentes?|q|question|frage|pregunta|re|aw|you asked|note)"
@@ -42,11 +50,19 @@ REFUSALS = [
     "no lo sé", "no puedo responder", "fuera de mi alcance", "no hay datos suficientes", "rechazar la petición", "pasajes hallados no tratan", "página permite opinar",
     "no puedo contestar", "no puedo ayudar", "no dispongo de información", "petición rechazada",
 ]
+#: Refusals by their build: the speaker, a denied ability or will, and what is asked of an answer; and rules that bind the speaker.
+_I_WONT = re.compile(
+    r"\bi(?:'m| am)? (?:really |simply |also )?(?:can't|cannot|can not|couldn't|could not|won't|will not|would rather not|'d rather not|must not|unable|not able|not allowed|not permitted|not in a position|don't feel able|do not feel able)\b[^.!?]*\b(?:provide|answer|help|assist|discuss|comment|share|give|tell|say|advise|respond|reply|comply|offer|support|do that|do this)\b"
+    r"|\b(?:against|violates?|outside|breach(?:es)?) (?:of )?my (?:guidelines?|polic(?:y|ies)|rules|instructions|remit)|\bas an ai\b|\bje (?:ne|n')[^.!?]{0,12}(?:peux|puis|suis|sais|veux)[^.!?]{0,20}\b(?:répondre|aider|fournir|donner|dire|discuter|commenter|autorisé)"
+    r"|\b(?:ich|dazu|darauf|darüber) (?:kann|darf|möchte|werde)\b[^.!?]*\b(?:nicht|keine|nichts)\b[^.!?]*\b(?:antworten|beantworten|helfen|geben|sagen|mitteilen|weiterhelfen|besprechen|bereitstellen)\b|\bno (?:puedo|debo|quiero|me es posible|estoy autorizad[oa] a)\b[^.!?]*\b(?:responder|contestar|ayudar|dar|decir|proporcionar|hablar|comentar)\w*"
+)
+#: Words without which no refusal is built so.
+_SPEAKER = re.compile(r"\b(?:i|i'm|i'd|my|an ai|je n\W?e?|ich|dazu|darauf|darüber|no (?:puedo|debo|quiero|me es|estoy))\b")
 #: What may stand beside a refusal without answering anything.
 COURTESIES = [
     "sorry", "i'm afraid that", "i am afraid that", "to be frank", "unfortunately", "thank you for asking", "however", "hmm", "note", "try another wording", "a manual check is advised",
-    "please ask your safety officer", "is there anything else you need", "désolé", "malheureusement", "veuillez consulter un responsable", "leider", "entschuldigung", "tut mir leid",
-    "bitte fragen sie die laborleitung", "lamentablemente", "lo siento", "consulte al responsable", "sources: none", "code",
+    "please ask", "is there anything else", "désolé", "malheureusement", "veuillez consulter", "leider", "entschuldigung", "tut mir leid",
+    "bitte fragen sie", "lamentablemente", "lo siento", "consulte a", "sources: none", "code",
 ]
 
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
@@ -57,10 +73,32 @@ _ROW = re.compile(r"^[^|\n]+(?:\|[^|\n]*)+$")
 _ITEM = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)])\s+(.*)$")
 _SOURCE = re.compile(r"^(?:sources?|quellen?|fuentes?)\s*:\s*(?:none|[A-Z]_\d+(?:\s*,\s*[A-Z]_\d+)*)\.?$", re.I)
 _AMOUNT = re.compile(r"^[-+]?\d+(?:[.,]\d+)?\s*[°%a-zµ]")
+#: A short instruction or statement whose last word is the unit of an amount.
+_MEASURED = re.compile(r"\d\s*(?:°\s*[CF]|%|min|h|s|d|ml|µl|l|g|mg|kg|µg|mm|cm|m|rpm|bar|hours?|minutes?|seconds?|days?|weeks?|months?|years?)$")
 _YES_NO = {"yes": "en", "oui": "fr", "non": "fr", "ja": "de", "nein": "de", "sí": "es", "no": "", "si": ""}
 _BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|«[^«»]*»|“[^“”]*”|\"[^\"]*\"")
 
 
+_BLOCKS = [("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("indic", 0x900, 0xDFF), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF)]
+
+
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _script(text: str) -> str | None:
+    """The script of most letters of ``text``; kana and han are one."""
+    if text.isascii() or max(text) < "\u0250":
+        return "latin" if _LETTER.search(text) else None
+    n: Counter[str] = Counter()
+    for c in text:
+        if c.isalpha():
+            n[next((name for name, lo, hi in _BLOCKS if lo <= ord(c) <= hi), "other")] += 1
+    if not n:
+        return None
+    best = n.most_common(1)[0][0]
+    return "han" if best == "kana" else best
+
+
 def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text.replace("’", "'"))]
 
@@ -68,6 +106,7 @@ def words(text: str) -> list[str]:
 class Judge:
     def __init__(self, lexicon: dict[str, str]) -> None:
         self.stop = {w: lang for lang, ws in STOPWORDS.items() for w in ws if sum(w in o for o in STOPWORDS.values()) == 1}
+        self.further = {w: lang for lang, ws in FURTHER.items() for w in ws if w not in self.stop and all(w not in o for o in STOPWORDS.values()) and sum(w in o for o in FURTHER.values()) == 1}
         self.lexicon = lexicon
         self.refusal = Phrases([(p, True) for p in REFUSALS] + [(p, False) for p in COURTESIES])
 
@@ -116,7 +155,8 @@ class Judge:
     def refused(self, a: str) -> bool:
         text = a.replace("’", "'").lower()
         spans = self.refusal.spans(text)
-        if not any(v for _, _, v in spans):
+        built = bool(_SPEAKER.search(text)) and bool(_I_WONT.search(text))
+        if not built and not any(v for _, _, v in spans):
             return False
         refusing = other = 0
         for part in _SENTENCE.split(text):
@@ -124,7 +164,7 @@ class Judge:
                 continue
             hits = self.refusal.spans(part)
             n = len(words(part))
-            if any(v for _, _, v in hits):
+            if any(v for _, _, v in hits) or built and _I_WONT.search(part):
                 refusing += n
             elif not (hits or n <= 3 or _SOURCE.match(part.strip())):
                 other += n
@@ -147,7 +187,9 @@ class Judge:
         return (best if v[best] > second else None), v
 
     def foreign(self, q: str, a: str) -> bool:
-        mine, _ = self.language(words(q))
+        mine, asked = self.language(words(q))
+        if _script(q) and _script(a) and _script(q) != _script(a):
+            return True
         plain = _BRACKETS.sub(" ", a)
         ws = words("\n".join(x for x in plain.split("\n") if not _SOURCE.match(x.strip())))
         if mine is None or not ws:
@@ -155,6 +197,9 @@ class Judge:
         if len(ws) <= 2 and _YES_NO.get(ws[0]):
             return _YES_NO[ws[0]] != mine
         theirs, v = self.language(ws)
+        beyond = Counter(self.further[w] for w in ws if w in self.further)
+        if beyond and (n := max(beyond.values())) >= 3 and 8 * n >= len(ws) and 2 * n > max(v.values()) and not any(w in self.further for w in words(q)):
+            return True
         return theirs is not None and theirs != mine and v[theirs] >= 3 and v[theirs] >= 2 * v[mine] + 1
 
     def cut_off(self, a: str) -> bool:
@@ -187,6 +232,8 @@ class Judge:
             return False
         if len(lines) == 1 and _AMOUNT.match(last) and len(ws) <= 12:
             return False
+        if len(lines) == 1 and _MEASURED.search(last) and len(last.split()) <= 8:
+            return False
         if last.endswith("°"):
             return True
         return len(ws) >= 3 or len(lines) > 1

@@ -119,6 +119,19 @@ def test_answer_defects(question, answer, defect):
     assert Judge(LEX).defect(question, answer) == defect
 
 
+@pytest.mark.parametrize(
+    "answer,defect",
+    [
+        ("I'm sorry, but I can't provide that.", "refusal"), ("As an AI language model, I am unable to provide that information.", "refusal"), ("That is against my guidelines, so I won't discuss it.", "refusal"),
+        ("Il vassoio è sul secondo ripiano della cella e deve essere chiuso ogni sera prima della pausa.", "other_language"), ("Taca stoi na drugiej półce i nie może być otwarta, jeśli jest mokra, oraz musi być zamknięta.", "other_language"),
+        ("O tabuleiro está na segunda prateleira e não deve ser aberto depois das seis, também está numa caixa.", "other_language"), ("托盘放在冷库的第二层架子上。", "other_language"), ("Autoclave at 121 °C for 30 min", None),
+        ("The tray, marked 托盘, is kept on the shelf.", None), ("If I am late, the tray is kept by the night shift until I can help to move it.", None),
+    ],
+)
+def test_answers_of_other_makes(answer, defect):
+    assert Judge(LEX).defect("Where is the tray kept in the cold store?", answer) == defect
+
+
 def test_broken_answers_table(spark):
     df = spark.createDataFrame([(1, "Where is it?", None, 2.0, "x"), (1, "Where is it?", None, None, "x"), (2, None, "Fine words that end well.", 0.5, "y"), (None, "Q", "", None, None)], "answer_id long, question string, answer string, confidence double, defect string")
     assert sorted((r.answer_id or 0, r.defect) for r in broken_answers(df).collect()) == [(0, "empty"), (1, "empty"), (1, "empty")]
