@@ -202,6 +202,15 @@ def p7_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(record_shares(r, shared_spans(r, 200)[1]))
 
 
+@query
+def p7_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's text without the spans that occur in other records of its table."""
+    from .shared_spans import shared_spans, without_spans
+
+    r = records(spark, sf_dir)
+    return named(without_spans(r, shared_spans(r, 200)[0]))
+
+
 def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .scan_noise import read_scans
 
@@ -235,3 +244,11 @@ SQL["p7_found"] = f"""
 WITH {_RECORDS}, s AS (SELECT rec_table, rec_id, hash(substring(text, i, 200)) AS h FROM (SELECT rec_table, rec_id, text, unnest(range(1, length(text) - 198)) AS i FROM r WHERE length(text) >= 200)),
 d AS (SELECT rec_table, h FROM s GROUP BY ALL HAVING count(DISTINCT rec_id) > 1)
 SELECT DISTINCT rec_table, rec_id FROM s JOIN d USING (rec_table, h)"""
+
+SQL["p7_share"] = f"""
+WITH ids AS (SELECT 'who_chunks_semantic' AS rec_table, id AS rec_id, coalesce(max(length(text)), 0) AS chars FROM who_chunks_semantic WHERE id IS NOT NULL GROUP BY id
+  UNION ALL SELECT 'nodes_text', chunk_id, coalesce(max(length(text)), 0) FROM nodes_text WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+{_RECORDS}, s AS (SELECT rec_table, rec_id, i, hash(substring(text, i, 200)) AS h FROM (SELECT rec_table, rec_id, text, unnest(range(1, length(text) - 198)) AS i FROM r WHERE length(text) >= 200)),
+d AS (SELECT rec_table, h FROM s GROUP BY ALL HAVING count(DISTINCT rec_id) > 1), w AS (SELECT s.rec_table, rec_id, i FROM s JOIN d USING (rec_table, h)),
+c AS (SELECT rec_table, rec_id, sum(least(200, n - i)) AS shared_chars FROM (SELECT *, coalesce(lead(i) OVER (PARTITION BY rec_table, rec_id ORDER BY i), i + 200) AS n FROM w) GROUP BY ALL)
+SELECT rec_table, rec_id, CAST(chars AS INT) AS chars, CAST(coalesce(shared_chars, 0) AS BIGINT) AS shared_chars, CASE WHEN coalesce(shared_chars, 0) = 0 THEN 0.0 ELSE CAST(shared_chars AS DOUBLE) / chars END AS share FROM ids LEFT JOIN c USING (rec_table, rec_id)"""

@@ -28,8 +28,8 @@ from .automata import SuffixAutomaton
 from .wordsets import mix
 
 GRAM = 100
-#: Characters of surroundings that one automaton holds, about; bounds a task's memory.
-SHARD_CHARS = 60_000
+#: Characters of surroundings that one automaton holds, about, and that one task gets, about; they bound a task's memory.
+SHARD_CHARS, TASK_CHARS = 60_000, 2_000_000
 #: Different surroundings of one anchor beyond which its windows are compared by hash, in Spark, instead.
 HOT_BODIES = 1_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -228,7 +228,8 @@ def _spans(records: DataFrame, wanted: DataFrame, length: int) -> tuple[DataFram
     hot = bodies.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BODIES).select("anchor")
     hot = broadcast_if_small(cut(hot, "hot"))
     owner = F.when(F.col("lo") == F.col("hi"), F.pmod(F.col("lo"), F.lit(1 << 62))).otherwise(F.lit(-2))
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(4 * partitions(spark))).cast("int")
+    chars = bodies.agg(F.sum(F.length("body"))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(4 * partitions(spark), chars // TASK_CHARS))).cast("int")
     sharded = bodies.join(hot, "anchor", "left_anti").select("rec_table", "anchor", "print", "body", owner.alias("owner"), shard.alias("shard"))
     hits = sharded.groupBy("rec_table", "shard").applyInPandas(_shards(length), "anchor long, print long, lo int, hi int")
     # anchors in too many different surroundings for one automaton: each window of ``length`` by its hash
@@ -248,6 +249,20 @@ def _spans(records: DataFrame, wanted: DataFrame, length: int) -> tuple[DataFram
     return spans, totals.select("rec_table", "rec_id", "chars", "shared_chars", (F.col("shared_chars") / F.col("chars")).alias("share"))
 
 
+def without_spans(records: DataFrame, spans: DataFrame) -> DataFrame:
+    """rec_table, rec_id, text of every record (rec_table, rec_id, text) without its ``spans`` (the first result of ``shared_spans``).
+
+    A record is a distinct rec_table and non-null rec_id, with its largest text; what stays around a removed span is
+    joined as it stands.  Texts without spans come out whole, null ones as null.
+    """
+    texts = records.where("rec_id is not null").groupBy("rec_table", "rec_id").agg(F.max("text").alias("text"))
+    per = spans.groupBy("rec_table", "rec_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))  # of one text
+    kept = F.expr("""concat(
+        aggregate(spans, named_struct('out', '', 'at', 0), (acc, x) -> named_struct('out', if(x.start > acc.at, concat(acc.out, substring(text, acc.at + 1, x.start - acc.at)), acc.out), 'at', greatest(acc.at, x.end)), acc -> acc.out),
+        substring(text, array_max(transform(spans, x -> x.end)) + 1))""")
+    return texts.join(per, ["rec_table", "rec_id"], "left").select("rec_table", "rec_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept).alias("text"))
+
+
 def record_shares(records: DataFrame, totals: DataFrame) -> DataFrame:
     """``totals`` (the second result of ``shared_spans``) with a row for every record, shared or not.
 

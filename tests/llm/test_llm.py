@@ -18,7 +18,7 @@ from manuscope.llm.neighbours import hilbert_keys, nearest, usable
 from manuscope.llm.packing import pack, pack_block
 from manuscope.llm.residue import Detector, template_residue, without_residue
 from manuscope.llm.scan_noise import Titles, furniture, read_scans, reflow
-from manuscope.llm.shared_spans import anchors, shared_in, shared_spans
+from manuscope.llm.shared_spans import anchors, shared_in, shared_spans, without_spans
 from manuscope.llm.splitting import boundaries, cut_points, split_oversized
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -266,6 +266,9 @@ def test_shared_spans_against_brute_force(spark):
             want[k] = sum(mark)
     assert {(r.rec_table, r.rec_id): r.shared_chars for r in shares.collect()} == want and want
     assert {(r.rec_table, r.rec_id) for r in spans.collect()} == set(want)
+    left = {(r.rec_table, r.rec_id): r.text for r in without_spans(spark.createDataFrame(rows, RECORDS), spans).collect()}
+    assert set(left) == {(a, b) for a, b, *_ in rows if b} and left[0, "n"] is None
+    assert all(len(left[k]) == len(t) - want.get(k, 0) for k, t in text.items()) and all(left[k] == t for k, t in text.items() if k not in want)
     assert shared_spans(spark.createDataFrame([], RECORDS), 200)[1].count() == 0
 
 
