@@ -367,3 +367,53 @@ def test_api_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "based_on_text")).select("answer_id", "chunk_id").distinct().count() == graph.bridges(g.answers)[0].count()
     table = {r.start: r.answers for r in answer_log.quality(g.answers).collect()}
     assert sum(table.values()) == g.answers.where("answered_at is not null").count()
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_sparse_blocks_equal_brute_force(spark, monkeypatch, small):
+    """Whatever the sizes of passes, parts and blocks: the same best rows, with copies, ties and repeated ids."""
+    from collections import Counter
+    from math import log, sqrt
+
+    from manuscope.operators import blocks
+
+    if small:
+        for name, v in (("PASS", 300), ("HELD", 50), ("WIDE", 16), ("HIGH", 7), ("DENSE", 9)):
+            monkeypatch.setattr(blocks, name, v)
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rnd.choices(words, [1 / (i + 1) for i in range(40)], k=rnd.randint(0, 9))) for _ in range(120)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(200 + i, texts[i % 4]) for i in range(30)] + [(3, "w1 w2 w9"), (3, "w2 w30")]
+    by: dict = {}
+    for i, t in docs:
+        w = t.split()
+        by.setdefault(i, Counter()).update(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    df = Counter(t for c in by.values() for t in c)
+    rows = {i: {t: n * (log((1 + len(docs)) / (1 + df[t])) + 1) for t, n in c.items()} for i, c in by.items()}
+    norm = {i: sqrt(sum(x * x for x in r.values())) for i, r in rows.items()}
+    cos = lambda a, b: sum(x * rows[b].get(t, 0) for t, x in rows[a].items()) / (norm[a] * norm[b] or 1)
+    want = {}
+    for q in rows:
+        s = sorted((-round(cos(q, d), 9), d) for d in rows if d != q)
+        want |= {(q, d): -x for x, d in s[:4] if -x >= 0.25}
+    table = spark.createDataFrame(docs, "id long, text string")
+    got = {(r.src, r.dst): r.score for r in lexical.knn_edges(table, None, 4).collect()}
+    assert got.keys() == want.keys() and want and all(got[x] == pytest.approx(want[x], abs=1e-4) for x in want)
+    found = lexical.search(*lexical.tfidf(table), spark.createDataFrame([(7, "w2 w30 w1"), (8, "none of these")], "qid long, text string"), 3).collect()
+    assert sorted(r["rank"] for r in found) == [1, 2, 3] and {r.qid for r in found} == {7}
+    per = lexical.coverage_topk(table.where("id <> 3").withColumn("kind", F.col("id") % 2), spark.createDataFrame([(7, "w10 w11 w12")], "qid long, text string"), 2, by="kind")
+    best = lambda k: sorted((-len({"w10", "w11", "w12"} & set(t.split())), i) for i, t in docs if i != 3 and i % 2 == k)[:2]
+    assert {(r.kind, r.id, r["rank"]) for r in per.collect()} == {(k, i, n) for k in (0, 1) for n, (_, i) in enumerate(best(k), 1) if _}
+
+
+@pytest.mark.parametrize("name", ["knn_edges"])
+def test_rows_are_not_repeated_for_queries(spark, name):
+    """Neither rows nor their terms are copied for the queries, and no row of a text and a term is stored."""
+    import __spark_entry__ as entry
+    from manuscope import runtime
+
+    before = len(runtime._made)
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Generate|CoGroups", plan)
+    for path in runtime._made[before:]:
+        assert "term" not in spark.read.parquet(path).columns
