@@ -406,7 +406,7 @@ def test_sparse_blocks_equal_brute_force(spark, monkeypatch, small):
     assert {(r.kind, r.id, r["rank"]) for r in per.collect()} == {(k, i, n) for k in (0, 1) for n, (_, i) in enumerate(best(k), 1) if _}
 
 
-@pytest.mark.parametrize("name", ["knn_edges", "chunking_comparison"])
+@pytest.mark.parametrize("name", ["knn_edges", "tfidf_topk", "chunking_comparison"])
 def test_rows_are_not_repeated_for_queries(spark, name):
     """Neither rows nor their terms are copied for the queries, and no row of a text and a term is stored."""
     import __spark_entry__ as entry
