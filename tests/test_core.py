@@ -417,3 +417,29 @@ def test_rows_are_not_repeated_for_queries(spark, name):
     assert not re.search("Generate|CoGroups", plan)
     for path in runtime._made[before:]:
         assert "term" not in spark.read.parquet(path).columns
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_repeated_ids_are_added_up_packed(spark, monkeypatch, small):
+    """Texts of an id that comes several times count as one, and their words are not gathered for it: only what is packed moves."""
+    from collections import Counter
+    from math import log
+
+    if not small:
+        monkeypatch.setattr(lexical, "BROADCAST_BYTES", -1, raising=False)
+    plans, cut = [], lexical.cut
+    monkeypatch.setattr(lexical, "cut", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or cut(df, name))
+    rnd = random.Random(3)
+    docs = [(rnd.choice([None, 1, 1, 1, *range(40)]), " ".join(rnd.choices([f"w{i}" for i in range(12)] + ["-"], k=rnd.randint(0, 8)))) for _ in range(300)]
+    by: dict = {}
+    for i, t in docs:
+        w = [x for x in t.split() if x != "-"]
+        by.setdefault(i, Counter()).update(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    tf = sum(by.values(), Counter())
+    terms = sorted(tf, key=lambda t: (-tf[t], t))[:60]
+    rows, vocab = lexical.tfidf(spark.createDataFrame(docs, "id long, text string"), 60)
+    assert vocab.terms == terms
+    assert vocab.idf == pytest.approx([log(301 / (1 + sum(t in c for c in by.values()))) + 1 for t in terms])
+    got = [(r.id, {vocab.terms[t]: n for t, n in zip(r.terms, r.ws)}) for r in rows.collect()]
+    assert len(got) == len(dict(got)) and dict(got) == {i: k for i, c in by.items() if (k := {t: c[t] for t in terms if t in c})}
+    assert len(plans) == 3 and not any(re.search(r"collect_list\([^\n]*words", p) for p in plans)
